@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawlake.llm import bpe, packing, splitting
+from lawlake.llm import bpe, markup, packing, splitting
 from lawlake.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found(spark, read(spark, d, "bodies"), read(spark, d, "acquired_documents"))
+
+
+def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(spark, read(spark, d, "bodies"), read(spark, d, "acquired_documents"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read(spark, d, "documents"))
 
@@ -20,5 +28,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_text, p8_ids, p9_containers, p10_pieces)}
 SQL: dict[str, str] = {}
