@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawlake import session
 from lawlake.llm import bpe
 
 CAPACITY = 4096
@@ -87,7 +88,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> Da
 
     ``container`` is ``window-number``; ``start`` the token at which a piece begins in its text.
     """
-    items = items.where("n_tokens IS NOT NULL")
+    spark = items.sparkSession
+    sizes = session.shared_dir(spark, "sizes")
+    items.where("n_tokens IS NOT NULL").write.parquet(sizes)  # tokenized once, counted and packed from here
+    items = spark.read.parquet(sizes)
     windows = max(1, -(-items.count() // window))
     pieces = F.when(
         F.col("n_tokens") > capacity,
