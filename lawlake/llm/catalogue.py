@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lawlake.llm import bpe, markup, packing, splitting
+from lawlake.llm import bpe, markup, packing, sentence_align, splitting
 from lawlake.session import read
 
 
@@ -16,6 +16,10 @@ def p1_clean_text(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_texts(spark, read(spark, d, "bodies"), read(spark, d, "acquired_documents"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_align.found(spark, read(spark, d, "bodies"), read(spark, d, "body_sentences"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(read(spark, d, "documents"))
 
@@ -28,5 +32,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean_text, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean_text, p3_found, p8_ids, p9_containers, p10_pieces)}
 SQL: dict[str, str] = {}
