@@ -37,47 +37,52 @@ CLAUSE_ENDS = ",;:、，；："
 CLOSERS = "\"'”’»)]"
 
 
-def word_letters(word: str, sizes: list[int], before: str, following: str) -> str:
-    """The letters of a word's tokens, given their byte lengths and the words around it."""
-    raw = word.encode()
-    if len(sizes) == 1:
-        inner = ""
-    elif len(raw) == len(word):
-        inner = "x" * (len(sizes) - 1)
-    else:
-        ends = np.cumsum(sizes)[:-1]
-        inner = "".join("n" if raw[e] & 0xC0 == 0x80 else "x" for e in ends)
-    if word.isspace():
-        blank_line = word.count("\n") > 1 or "\n" in word and before.isspace() and "\n" in before
-        last = "p" if blank_line else "l" if "\n" in word else "w"
-        if following.isspace():
-            last = "w"  # the run of blanks isn't over
-    elif not following or following[0].isspace():
-        body = word.rstrip(CLOSERS) or word
-        last = "s" if body[-1] in SENTENCE_ENDS else "c" if body[-1] in CLAUSE_ENDS else "w"
-    else:
-        last = "s" if word[-1] in "。！？" else "c" if word[-1] in "、，；：" else "w"
-    return inner + last
-
-
-def boundary_letters(enc: bpe.Encoder, spelt: dict[int, int], text: str, words: list[str], memory: dict) -> tuple[str, list[int]]:
-    """One letter per token and the character at which each token begins (the end of the text last)."""
-    letters, starts, at = [], [], 0
-    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-        ids = memory[w]
-        sizes = [spelt[t] for t in ids]
-        letters.append(word_letters(w, sizes, before, after))
-        if len(ids) == 1:
-            starts.append(at)
-        elif w.isascii():
-            starts += [at, *(at + np.cumsum(sizes)[:-1]).tolist()]
+class Letters:
+    """Letters and character counts of words' tokens, kept per word; only a last letter depends on what follows."""
+
+    def __init__(self, enc: bpe.Encoder):
+        self.enc, self.bytes = enc, {i: len(b) for b, i in enc.ids.items()}
+        self.words: dict[str, tuple[str, str, tuple[int, ...]]] = {}
+
+    def of(self, word: str, ids: tuple[int, ...]) -> tuple[str, str, tuple[int, ...]]:
+        """(letters before white space or the end, letters before other text, characters begun by each token)."""
+        if (known := self.words.get(word)) is not None:
+            return known
+        raw, sizes = word.encode(), [self.bytes[t] for t in ids]
+        ends = np.cumsum(sizes)
+        if len(raw) == len(word):
+            inner, chars = "x" * (len(ids) - 1), tuple(sizes)
         else:
-            raw, pos = w.encode(), 0
-            for n in sizes:
-                starts.append(at + len(raw[:pos].decode(errors="ignore")))
-                pos += n
-        at += len(w)
-    return "".join(letters), [*starts, at]
+            inner = "".join("n" if raw[e] & 0xC0 == 0x80 else "x" for e in ends[:-1])
+            leads = np.cumsum([(x & 0xC0) != 0x80 for x in raw])
+            whole = [int(leads[e - 1]) - (e < len(raw) and raw[e] & 0xC0 == 0x80) for e in ends]  # characters complete by then
+            chars = tuple(np.diff([0, *whole]).tolist())
+        if word.isspace():
+            spaced, tight = "w", "p" if word.count("\n") > 1 else "l" if "\n" in word else "w"
+        else:
+            body = word.rstrip(CLOSERS) or word
+            spaced = "s" if body[-1] in SENTENCE_ENDS else "c" if body[-1] in CLAUSE_ENDS else "w"
+            tight = "s" if word[-1] in "。！？" else "c" if word[-1] in "、，；：" else "w"
+        made = inner + spaced, inner + tight, chars
+        if len(word) <= bpe.KEEP_CHARS:
+            if len(self.words) > bpe.KEEP_WORDS:
+                self.words = {}
+            self.words[word] = made
+        return made
+
+    def of_text(self, words: list[str], memory: dict) -> tuple[str, np.ndarray]:
+        """One letter per token of a text and the character at which each token begins (the end of the text last)."""
+        known = self.words
+        got = [known.get(w) or self.of(w, memory[w]) for w in words]
+        loose = [w[0].isspace() for w in words[1:]]
+        loose.append(True)
+        parts = [g[0] if s else g[1] for g, s in zip(got, loose)]
+        for i, w in enumerate(words):
+            if w[0] in "\n\r" and w.isspace() and not loose[i] and i and "\n" in words[i - 1] and "\n" in w:
+                parts[i] = parts[i][:-1] + "p"  # a blank line in two words
+        starts = np.zeros(sum(map(len, parts)) + 1, np.int32)
+        np.cumsum(np.fromiter(chain.from_iterable(g[2] for g in got), np.int32, len(starts) - 1), out=starts[1:])
+        return "".join(parts), starts
 
 
 def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabulary: str | None) -> DataFrame:
@@ -86,21 +91,22 @@ def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(path)
-        spelt = {i: len(b) for b, i in enc.ids.items()}
-        kind = pa.list_(pa.int32())
+        spell = Letters(enc)
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None or len(text.encode()) <= limit:  # a token has a byte at least
                     continue
                 words = bpe._SPLIT.findall(text)
-                seen = set(words)
-                memory = enc.learn(seen)
-                if sum(map(len, map(memory.__getitem__, words))) > limit:
-                    rows.append((key, text, *boundary_letters(enc, spelt, text, words, memory)))
-                bpe._forget_long(enc, seen)
+                memory = enc.learn(words)
+                if len(words) <= limit and sum(map(len, map(memory.__getitem__, words))) <= limit:
+                    continue
+                rows.append((key, text, *spell.of_text(words, memory)))
+                bpe._forget_long(enc, {w for w in words if len(w) > bpe.KEEP_CHARS})
             cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], kind)], ["doc_id", "text", "letters", "starts"])
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in cols[3]])]).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[3]) if cols[3] else np.array([], np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), starts], ["doc_id", "text", "letters", "starts"])
 
     doc = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, text string, letters string, starts array<int>")
@@ -123,26 +129,25 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: s
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     lettered = letters_of(docs, limit, id_col, text_col, vocabulary)
-    new = F.regexp_extract_all("letters", F.lit(piece_pattern(limit, overlap)), F.lit(0))
-    sizes = lettered.withColumn("runs", new)
-    ends = F.aggregate(F.transform("runs", lambda r: F.length(r)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = sizes.withColumn("ends", ends).select("doc_id", "text", "letters", "starts", F.posexplode("runs").alias("i", "run"), "ends")
-    begin, end = F.element_at("ends", F.col("i") + 1), F.element_at("ends", F.col("i") + 2)
+    runs = lettered.withColumn("runs", F.regexp_extract_all("letters", F.lit(piece_pattern(limit, overlap)), F.lit(0)))
+    ends = F.aggregate("runs", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(r))))
 
     def char_at(token: Column) -> Column:
         return F.element_at("starts", token + 1)
 
-    # the token before a start must not end inside a character: go on to the next that doesn't
-    back = F.when(F.col("i") == 0, begin).otherwise(begin - overlap)
-    tail = F.when(F.col("i") == 0, "").otherwise(F.regexp_extract(F.substring("letters", F.greatest(back, F.lit(1)), begin - F.greatest(back, F.lit(1)) + 1), "^n+", 0))
-    start = back + F.length(tail)
-    return rows.select(
-        "doc_id",
-        (F.col("i") + 1).alias("piece_no"),
-        char_at(start).alias("char_start"),
-        char_at(end).alias("char_end"),
-        (end - start).alias("n_tokens"),
-        (begin - start).alias("overlap_tokens"),
-        F.right("run", F.lit(1)).alias("boundary"),
-        F.substring(F.col("text"), char_at(start) + 1, char_at(end) - char_at(start)).alias("piece"),
-    )
+    def piece(run: Column, i: Column) -> Column:
+        begin, end = F.element_at("ends", i + 1), F.element_at("ends", i + 2)
+        # the overlap begins at a character: past tokens that begin inside one
+        back = F.when(i == 0, begin).otherwise(begin - overlap)
+        inside = F.when(i == 0, 0).otherwise(F.length(F.regexp_extract(F.substring(F.col("letters"), F.greatest(back, F.lit(1)), F.lit(8)), "^n+", 0)))
+        start = F.least(back + inside, begin)
+        return F.struct(
+            (i + 1).alias("piece_no"), char_at(start).alias("char_start"), char_at(end).alias("char_end"),
+            (end - start).alias("n_tokens"), (begin - start).alias("overlap_tokens"), F.right(run, F.lit(1)).alias("boundary"),
+            F.substring(F.col("text"), char_at(start) + 1, char_at(end) - char_at(start)).alias("piece"),
+        )
+
+    # pieces are made inside the row, so the text isn't copied for each of them; the outer form, as for the
+    # inner one the optimizer would evaluate all of it once more in a filter (no row is without pieces)
+    cut = runs.withColumn("ends", ends).select("doc_id", F.transform("runs", piece).alias("pieces"))
+    return cut.select("doc_id", F.inline_outer("pieces"))
