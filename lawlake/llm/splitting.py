@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,78 +39,75 @@ CLOSERS = "\"'”’»)]"
 
 
 class Letters:
-    """Letters and character counts of words' tokens, kept per word; only a last letter depends on what follows."""
+    """Letters and byte lengths of words' tokens, kept per word; only a last letter depends on what follows."""
 
     def __init__(self, enc: bpe.Encoder):
         self.enc, self.bytes = enc, {i: len(b) for b, i in enc.ids.items()}
-        self.words: dict[str, tuple[str, str, tuple[int, ...]]] = {}
-
-    def of(self, word: str, ids: tuple[int, ...]) -> tuple[str, str, tuple[int, ...]]:
-        """(letters before white space or the end, letters before other text, characters begun by each token)."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        raw, sizes = word.encode(), [self.bytes[t] for t in ids]
-        ends = np.cumsum(sizes)
+        self.words: dict[str, tuple[str, str, tuple[int, ...], int]] = {}
+
+    def of(self, word: str, ids: tuple[int, ...]) -> tuple[str, str, tuple[int, ...], int]:
+        """(letters before white space or the end, letters before other text, bytes of each token, 1 unless it begins with white space)."""
+        raw, sizes = word.encode(), tuple(self.bytes[t] for t in ids)
         if len(raw) == len(word):
-            inner, chars = "x" * (len(ids) - 1), tuple(sizes)
+            inner = "x" * (len(ids) - 1)
         else:
-            inner = "".join("n" if raw[e] & 0xC0 == 0x80 else "x" for e in ends[:-1])
-            leads = np.cumsum([(x & 0xC0) != 0x80 for x in raw])
-            whole = [int(leads[e - 1]) - (e < len(raw) and raw[e] & 0xC0 == 0x80) for e in ends]  # characters complete by then
-            chars = tuple(np.diff([0, *whole]).tolist())
+            inner = "".join("n" if raw[e] & 0xC0 == 0x80 else "x" for e in np.cumsum(sizes)[:-1])
         if word.isspace():
-            spaced, tight = "w", "p" if word.count("\n") > 1 else "l" if "\n" in word else "w"
+            # b: a line break with more white space to come, so the break may be a blank line
+            lines = word.count("\n")
+            spaced, tight = "b" if lines else "w", "p" if lines > 1 else "l" if lines else "w"
         else:
             body = word.rstrip(CLOSERS) or word
             spaced = "s" if body[-1] in SENTENCE_ENDS else "c" if body[-1] in CLAUSE_ENDS else "w"
             tight = "s" if word[-1] in "。！？" else "c" if word[-1] in "、，；：" else "w"
-        made = inner + spaced, inner + tight, chars
-        if len(word) <= bpe.KEEP_CHARS:
+        return inner + spaced, inner + tight, sizes, 0 if word[0].isspace() else 1
+
+    def of_words(self, words: list[str]) -> list[tuple[str, str, tuple[int, ...], int]]:
+        """``of`` each word; words not met before are tokenized together."""
+        got = list(map(self.words.get, words))
+        if None in got:
+            new = {w for w, g in zip(words, got) if g is None}
+            memory = self.enc.learn(new)
+            made = {w: self.of(w, memory[w]) for w in new}
+            got = [g or made[w] for w, g in zip(words, got)]
             if len(self.words) > bpe.KEEP_WORDS:
                 self.words = {}
-            self.words[word] = made
-        return made
-
-    def of_text(self, words: list[str], memory: dict) -> tuple[str, np.ndarray]:
-        """One letter per token of a text and the character at which each token begins (the end of the text last)."""
-        known = self.words
-        got = [known.get(w) or self.of(w, memory[w]) for w in words]
-        loose = [w[0].isspace() for w in words[1:]]
-        loose.append(True)
-        parts = [g[0] if s else g[1] for g, s in zip(got, loose)]
-        for i, w in enumerate(words):
-            if w[0] in "\n\r" and w.isspace() and not loose[i] and i and "\n" in words[i - 1] and "\n" in w:
-                parts[i] = parts[i][:-1] + "p"  # a blank line in two words
-        starts = np.zeros(sum(map(len, parts)) + 1, np.int32)
-        np.cumsum(np.fromiter(chain.from_iterable(g[2] for g in got), np.int32, len(starts) - 1), out=starts[1:])
-        return "".join(parts), starts
+            self.words.update((w, g) for w, g in made.items() if len(w) <= bpe.KEEP_CHARS)
+            bpe._forget_long(self.enc, new)
+        return got
+
+    def of_text(self, words: list[str]) -> tuple[str, np.ndarray]:
+        """One letter per token of a text and the byte at which each token begins (the end of the text last)."""
+        got = self.of_words(words)
+        parts = [g[after[3]] for g, after in zip(got, got[1:])]
+        parts.append(got[-1][0])
+        letters = "".join(parts).replace("bl", "wp").replace("b", "w")
+        starts = np.zeros(len(letters) + 1, np.int32)
+        np.cumsum(np.fromiter(chain.from_iterable(map(itemgetter(2), got)), np.int32, len(letters)), out=starts[1:])
+        return letters, starts
 
 
 def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabulary: str | None) -> DataFrame:
-    """``(doc_id, text, letters, starts)`` of the texts above the limit."""
+    """``(doc_id, raw, letters, starts)`` of the texts above the limit; ``raw`` is the text in UTF-8."""
     path = vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(path)
-        spell = Letters(enc)
+        spell = Letters(bpe.encoder(path))
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is None or len(text.encode()) <= limit:  # a token has a byte at least
-                    continue
-                words = bpe._SPLIT.findall(text)
-                memory = enc.learn(words)
-                if len(words) <= limit and sum(map(len, map(memory.__getitem__, words))) <= limit:
+                if text is None or len(raw := text.encode()) <= limit:  # a token has a byte at least
                     continue
-                rows.append((key, text, *spell.of_text(words, memory)))
-                bpe._forget_long(enc, {w for w in words if len(w) > bpe.KEEP_CHARS})
+                letters, starts = spell.of_text(bpe._SPLIT.findall(text))
+                if len(letters) > limit:
+                    rows.append((key, raw, letters, starts))
             cols = list(zip(*rows)) or [(), (), (), ()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in cols[3]])]).astype(np.int32)
             starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[3]) if cols[3] else np.array([], np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), starts], ["doc_id", "text", "letters", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string()), starts], ["doc_id", "raw", "letters", "starts"])
 
     doc = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, text string, letters string, starts array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, raw binary, letters string, starts array<int>")
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
@@ -125,29 +123,32 @@ def piece_pattern(limit: int, overlap: int) -> str:
 
 
 def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, piece_no, char_start, char_end, n_tokens, overlap_tokens, boundary, piece)`` of the oversized texts."""
+    """``(doc_id, piece_no, byte_start, byte_end, n_tokens, overlap_tokens, boundary, piece)`` of the oversized texts."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     lettered = letters_of(docs, limit, id_col, text_col, vocabulary)
     runs = lettered.withColumn("runs", F.regexp_extract_all("letters", F.lit(piece_pattern(limit, overlap)), F.lit(0)))
     ends = F.aggregate("runs", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(r))))
 
-    def char_at(token: Column) -> Column:
+    def byte_at(token: Column) -> Column:
         return F.element_at("starts", token + 1)
 
-    def piece(run: Column, i: Column) -> Column:
-        begin, end = F.element_at("ends", i + 1), F.element_at("ends", i + 2)
+    def first_token(run: Column, i: Column) -> Column:
         # the overlap begins at a character: past tokens that begin inside one
-        back = F.when(i == 0, begin).otherwise(begin - overlap)
-        inside = F.when(i == 0, 0).otherwise(F.length(F.regexp_extract(F.substring(F.col("letters"), F.greatest(back, F.lit(1)), F.lit(8)), "^n+", 0)))
-        start = F.least(back + inside, begin)
+        begin, before = F.element_at("ends", i + 1), F.element_at("runs", i)
+        window = F.when(F.length(before) > overlap, F.right(before, F.lit(overlap + 1))).otherwise(F.substring(F.col("letters"), F.greatest(begin - overlap, F.lit(1)), F.lit(overlap + 1)))
+        back = F.greatest(begin - overlap, F.lit(0))
+        return F.when(i == 0, 0).otherwise(F.least(back + F.length(F.regexp_extract(window, "^n+", 0)), begin))
+
+    def piece(run: Column, i: Column) -> Column:
+        begin, end, start = F.element_at("ends", i + 1), F.element_at("ends", i + 2), F.element_at("firsts", i + 1)
         return F.struct(
-            (i + 1).alias("piece_no"), char_at(start).alias("char_start"), char_at(end).alias("char_end"),
+            (i + 1).alias("piece_no"), byte_at(start).alias("byte_start"), byte_at(end).alias("byte_end"),
             (end - start).alias("n_tokens"), (begin - start).alias("overlap_tokens"), F.right(run, F.lit(1)).alias("boundary"),
-            F.substring(F.col("text"), char_at(start) + 1, char_at(end) - char_at(start)).alias("piece"),
+            F.substring("raw", byte_at(start) + 1, byte_at(end) - byte_at(start)).cast("string").alias("piece"),
         )
 
     # pieces are made inside the row, so the text isn't copied for each of them; the outer form, as for the
     # inner one the optimizer would evaluate all of it once more in a filter (no row is without pieces)
-    cut = runs.withColumn("ends", ends).select("doc_id", F.transform("runs", piece).alias("pieces"))
+    cut = runs.withColumn("ends", ends).withColumn("firsts", F.transform("runs", first_token)).select("doc_id", F.transform("runs", piece).alias("pieces"))
     return cut.select("doc_id", F.inline_outer("pieces"))
