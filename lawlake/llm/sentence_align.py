@@ -44,7 +44,7 @@ from lawlake import session
 VOCABULARY, DIMENSIONS, NEIGHBOURHOODS = 4000, 256, 1024
 PIVOT = "en"
 BAND = 0.2
-ACCEPT = 0.62
+ACCEPT = 0.54
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 # Frequent words by which a language is told, and number words.
 LANGUAGE_WORDS = {
