@@ -198,7 +198,7 @@ def skip_gram(frame: pd.DataFrame, size: int, dimensions: int = DIMENSIONS, roun
     share = c.sum(0, keepdims=True) / max(c.sum(), 1e-9)
     noise = negatives * share
     draw = np.random.default_rng(7)
-    dims = min(dimensions, max(8, size))
+    dims = dimensions  # the same for every language, however few its words
     w, v = (draw.normal(0, 0.3 / math.sqrt(dims), (n, dims)).astype(np.float32) for n in (size, len(used)))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v)]
     for step in range(1, rounds + 1):
@@ -280,7 +280,7 @@ def align_spaces(vectors: dict[str, np.ndarray], words: dict, vocab: dict) -> di
                 to, gain = words[a, b]
                 seeds += [((j, i) if flip else (i, j)) + (g,) for i, (j, g) in enumerate(zip(to.tolist(), gain.tolist())) if g > SEED_GAIN]
         seeds += [(i, vocab[known][w][0], 1.0) for w, (i, _) in vocab[lang].items() if w.isdigit() and w in vocab[known]]
-        if seeds and vectors[lang].shape[1] == done[known].shape[1]:
+        if seeds:
             x, y = vectors[lang][[s[0] for s in seeds]], done[known][[s[1] for s in seeds]]
             done[lang] = vectors[lang] @ procrustes(x, y, np.array([s[2] for s in seeds]))
         else:
