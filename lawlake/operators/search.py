@@ -112,3 +112,50 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, at: int = 10) -> D
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(at)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     both = gold.join(hits, "query", "left")
     return both.select("query", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"), F.round(F.coalesce(F.col("dcg"), F.lit(0.0)) / ideal, 6).alias("ndcg"))
+
+
+def nearest_of_queries(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int, block: int = 500) -> DataFrame:
+    """``(query_id, id, score)``: the ``k`` nearest rows of every query, itself left out, exact.
+
+    A stated set of queries runs against all rows in blocks: each task scores its Arrow batch against the
+    queries by matrix products and keeps its own top k per query, so what is shuffled is k rows per query
+    and task. The query vectors are sent to the tasks block by block, ``block`` at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("q"), F.col(vec_col).alias("v")).orderBy("q")
+    parts = asked.toLocalIterator()
+    out, done = None, False
+    kind = vectors.schema[id_col].dataType.simpleString()
+    while not done:
+        chunk = []
+        for row in parts:
+            chunk.append(row)
+            if len(chunk) == block:
+                break
+        done = len(chunk) < block
+        if not chunk and out is not None:
+            break
+        ids = [r.q for r in chunk]
+        m = np.array([r.v for r in chunk], np.float64) if chunk else np.zeros((0, 1))
+        norms = np.linalg.norm(m, axis=1) if chunk else np.zeros(0)
+
+        def score(frames, ids=ids, m=m, norms=norms):
+            for f in frames:
+                f = f[f[vec_col].notna()]
+                if not len(f) or not ids:
+                    continue
+                x = np.stack(f[vec_col].to_numpy()).astype(np.float64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.round((x @ m.T) / (np.linalg.norm(x, axis=1)[:, None] * norms[None, :]), 6)
+                keys = f[id_col].to_numpy()
+                for j, q in enumerate(ids):
+                    ok = np.flatnonzero(np.isfinite(s[:, j]) & (keys != q))
+                    top = ok[np.lexsort((keys[ok], -s[ok, j]))[:k]]
+                    yield pd.DataFrame({"query_id": q, id_col: keys[top], "score": s[top, j]})
+
+        made = vectors.select(id_col, vec_col).mapInPandas(score, f"query_id {kind}, {id_col} {kind}, score double")
+        out = made if out is None else out.unionByName(made)
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
