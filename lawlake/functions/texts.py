@@ -120,3 +120,59 @@ def grounding(new: Column, source: Column) -> Column:
     cut = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     mine = cut(new)
     return F.when(F.size(mine) > 0, F.round(F.size(F.array_intersect(mine, cut(source))) / F.size(mine), 6))
+
+
+# Arabic letter folds, conjunctions, articles and suffixes of light stemming, ordinals.
+ARABIC_FOLDS = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه", "ـ": ""}
+ARABIC_ARTICLES = ["وال", "بال", "كال", "فال", "ال", "لل"]
+ARABIC_SUFFIXES = ["ها", "ان", "ات", "ون", "ين", "يه", "ية", "ه", "ة", "ي"]
+ORDINALS = {w: n for n, w in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), 1)}
+
+
+def fold_arabic(text: Column) -> Column:
+    """Arabic orthography folded for matching: hamza forms, final forms, tatweel and vowel marks."""
+    kept = {a: b for a, b in ARABIC_FOLDS.items() if b}
+    return F.regexp_replace(F.translate(text, "".join(kept), "".join(kept.values())), "[ـً-ْٰ]", "")
+
+
+def stem_arabic(token: str) -> str:
+    """A light stem: one conjunction, one article, one suffix; at least two letters stay."""
+    for a in ARABIC_ARTICLES:
+        if token.startswith(a) and len(token) - len(a) >= 3:
+            token = token[len(a) :]
+            break
+    for s in ARABIC_SUFFIXES:
+        if token.endswith(s) and len(token) - len(s) >= 3:
+            return token[: -len(s)]
+    return token
+
+
+def ordinal(word: str | None) -> int | None:
+    """The place that an English ordinal, spelled or in digits, names."""
+    w = (word or "").strip().lower()
+    if m := regex.fullmatch(r"(\d+)(?:st|nd|rd|th)", w):
+        return int(m[1])
+    return ORDINALS.get(w)
+
+
+def identity_from_title(title: Column) -> Column:
+    """struct<number, year> that a title states as ``No. 12 of 1999``, ``12/1999`` or a trailing year; null parts if it doesn't."""
+    both = r"(?i)\b(?:no\.?|nr\.?|n°|nº)?\s*(\d{1,5})\s*(?:of|/|de|von|du)\s*((?:1[2-9]|20|21)\d\d)\b"
+    year = F.coalesce(F.nullif(F.regexp_extract(title, both, 2), F.lit("")), F.nullif(F.regexp_extract(title, r"\b((?:1[2-9]|20|21)\d\d)\s*$", 1), F.lit("")))
+    return F.struct(F.nullif(F.regexp_extract(title, both, 1), F.lit("")).alias("number"), year.cast("int").alias("year"))
+
+
+def money_mismatches(text: str | None) -> list[tuple[int, int]]:
+    """(numeral, amount in words) where the two state different sums, as in ``500 (four hundred)``."""
+    out = []
+    for m in regex.finditer(r"(\d[\d,]*)\s*\(([a-z][a-z\s-]+)\)", (text or "").lower()):
+        said = cardinal(m[2].replace("-", " "))
+        if said is not None and said != int(m[1].replace(",", "")):
+            out.append((int(m[1].replace(",", "")), said))
+    return out
+
+
+def numeric_tokens(text: Column) -> Column:
+    """Numbers of a text in order, digits folded, thousands separators dropped (slots that a rendering must keep)."""
+    found = F.regexp_extract_all(fold_digits(F.coalesce(text, F.lit(""))), F.lit(r"(\d[\d.,]*)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"[.,]+$", ""), r"[.,](?=\d{3}(?:\D|$))", ""))

@@ -159,3 +159,16 @@ def nearest_of_queries(vectors: DataFrame, queries: DataFrame, id_col: str, vec_
         out = made if out is None else out.unionByName(made)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+
+
+def pinned_terms(texts: DataFrame, text_col: str, glossary: DataFrame, most_terms: int = 10_000) -> DataFrame:
+    """Texts with the glossary terms they hold, as whole token runs; glossary (term, rendering).
+
+    Terms are matched by their first token (an equi-join), then checked, so no text meets every term. A
+    glossary of up to ``most_terms`` is broadcast, a larger one joined by shuffle.
+    """
+    g = glossary.withColumn("__g", tokens(F.col("term"))).where(F.size("__g") > 0).withColumn("__k", F.element_at("__g", 1))
+    g = F.broadcast(g) if g.count() <= most_terms else g
+    t = texts.withColumn("__t", tokens(F.col(text_col))).withColumn("__k", F.explode(F.array_distinct("__t")))
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return t.join(g, "__k").where(padded(F.col("__t")).contains(padded(F.col("__g")))).drop("__t", "__k", "__g")

@@ -90,3 +90,10 @@ def stale_translations(versions: DataFrame, stamps: DataFrame) -> DataFrame:
     """Translations whose source has changed since: sha of the parent's XML is not the one stamped (id, source_sha)."""
     parents = versions.select(F.col("id").alias("parent_version_id"), F.sha2("akn_xml", 256).alias("now_sha"))
     return versions.join(stamps, "id").join(parents, "parent_version_id").where(~F.col("now_sha").eqNullSafe(F.col("source_sha"))).select("id")
+
+
+def containment(part: DataFrame, whole: DataFrame, text: str) -> DataFrame:
+    """One row: distinct texts of ``part``, and how many of them ``whole`` holds, by hash."""
+    hashes = lambda df: df.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("h")).distinct()
+    held = hashes(whole).withColumn("__in", F.lit(1))
+    return hashes(part).join(held, "h", "left").agg(F.count("*").alias("n"), F.count("__in").alias("n_held"))

@@ -82,3 +82,23 @@ def carry_forward(old: DataFrame, new: DataFrame, keys: list[str], at: str, valu
     """New rows with the last earlier decision on the same keys."""
     last = old.groupBy(*keys).agg(F.max(F.struct(at, value)).alias("__l")).select(*keys, F.col(f"__l.{value}").alias(f"prior_{value}"))
     return new.join(last, keys, "left")
+
+
+def nearest_holding(lines: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    """For every version the columns of its nearest ancestor (itself first) that has a row in ``held`` (version_id, ...).
+
+    ``lines`` is the result of ``lineage``.
+    """
+    met = lines.join(held.select(F.col("version_id").alias("ancestor_id"), *columns), "ancestor_id")
+    return met.groupBy("id").agg(F.min(F.struct("depth", "ancestor_id", *columns)).alias("n")).select("id", F.col("n.ancestor_id").alias("held_by"), "n.depth", *[f"n.{c}" for c in columns])
+
+
+def listing(laws: DataFrame, matches: DataFrame, size: int = 20, window: int = 200) -> DataFrame:
+    """Matching laws in order of score less 0.35 per step of their doctype's rank, within the best ``window`` (laws: id, rank; matches: id, score)."""
+    top = matches.orderBy(F.desc("score"), "id").limit(window).join(laws.select("id", "rank"), "id", "left")
+    return top.withColumn("order_score", F.round(F.col("score") - 0.35 * F.coalesce("rank", F.lit(0)), 6)).orderBy(F.desc("order_score"), "id").limit(size)
+
+
+def impact(effects: DataFrame, by: str) -> DataFrame:
+    """Per work how many effects it makes and how many of them change words."""
+    return effects.groupBy(by).agg(F.count("*").alias("n_effects"), F.count_if(F.col("akn_category") == "textual").alias("n_textual"))

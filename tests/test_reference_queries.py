@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lawlake.plans import problems, reference
+from lawlake.plans import further, problems, reference, structure  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 QUERIES, SQL = problems.QUERIES | reference.QUERIES, problems.SQL | reference.SQL
