@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from lawlake import session
 
-VOCABULARY, DIMENSIONS, NEIGHBOURHOODS = 4000, 256, 1024
+VOCABULARY, DIMENSIONS, NEIGHBOURHOODS = 2000, 256, 1024
+PAIRS_PER_FILE = 1000  # alignment costs far more than reading, so small files spread it over the cores
 PIVOT = "en"
 BAND = 0.2
 ACCEPT = 0.54
@@ -96,8 +97,8 @@ def document_pairs(bodies: DataFrame, sentences: DataFrame) -> DataFrame:
 
     cut_schema = "body_id bigint, fetch_id bigint, role string, lang string, said array<struct<n:int,w:array<string>>>"
     told = parts.join(bounds, "body_id").select("body_id", "fetch_id", "role", "content", "bounds").mapInArrow(cut, cut_schema)
-    side = lambda role, p: told.where(F.col("role") == role).groupBy("fetch_id").agg(F.min(F.struct("body_id", "lang", "said")).alias(p))
-    both = side("primary", "p").join(side("translation", "t"), "fetch_id")
+    side = lambda role: F.min(F.when(F.col("role") == role, F.struct("body_id", "lang", "said")))
+    both = told.groupBy("fetch_id").agg(side("primary").alias("p"), side("translation").alias("t")).where("p IS NOT NULL AND t IS NOT NULL")
     return both.select("fetch_id", F.col("p.body_id").alias("a_id"), F.col("t.body_id").alias("b_id"), F.col("p.lang").alias("a_lang"), F.col("t.lang").alias("b_lang"), F.col("p.said").alias("a"), F.col("t.said").alias("b"))
 
 
@@ -300,8 +301,8 @@ class Model:
             rarity = np.log1p(n.sum() / 12 / np.maximum(n, 1))
             self.weights[lang, other] = np.maximum(rarity * np.clip((gain - 0.1) / 0.5, 0, 1), 0)
 
-    def sentence(self, words: list[str], lang: str, other: str) -> tuple[list, np.ndarray]:
-        """Keys of its distinct words (index, or the spelling of a number or unknown word) with their weights."""
+    def sentence(self, words: list[str], lang: str, other: str, there: set[str] = frozenset()) -> tuple[list, np.ndarray]:
+        """Keys of its distinct words (index, or the spelling of a number or of an unknown word that is ``there`` too) with their weights."""
         keys, weights = [], []
         known, w = self.vocab.get(lang, {}), self.weights.get((lang, other))
         for word in dict.fromkeys(words):
@@ -311,6 +312,9 @@ class Model:
             elif word in known and w is not None:
                 keys.append(known[word][0])
                 weights.append(float(w[known[word][0]]))
+            elif word in there and len(word) > 3 and word not in self.vocab.get(other, {}):
+                keys.append("=" + word)
+                weights.append(4.0)
         return keys, np.array(weights)
 
 
@@ -390,7 +394,8 @@ def align_documents(model: Model, la: str, lb: str, a: list[list[str]], b: list[
     """Index pairs of the sentences of which one renders all or part of the other."""
     if not a or not b or la == lb or (la, lb) not in model.weights:
         return []
-    sa, sb = [model.sentence(s, la, lb) for s in a], [model.sentence(s, lb, la) for s in b]
+    said_a, said_b = {w for s in a for w in s}, {w for s in b for w in s}
+    sa, sb = [model.sentence(s, la, lb, said_b) for s in a], [model.sentence(s, lb, la, said_a) for s in b]
     in_b, in_a, cos = rendering(model, la, lb, sa, sb)
     wa, wb = np.array([w.sum() for _, w in sa]), np.array([w.sum() for _, w in sb])
     one = np.maximum(in_a, in_b)
@@ -441,7 +446,7 @@ def fit(pairs: DataFrame) -> Model:
 def found(spark: SparkSession, bodies: DataFrame, sentences: DataFrame) -> DataFrame:
     """p3_found: pairs of sentences of the two bodies of a fetch, the smaller body first."""
     folder = session.shared_dir(spark, "align")
-    document_pairs(bodies, sentences).write.parquet(f"{folder}/pairs")
+    document_pairs(bodies, sentences).write.option("maxRecordsPerFile", PAIRS_PER_FILE).parquet(f"{folder}/pairs")
     pairs = spark.read.parquet(f"{folder}/pairs")
     shared = spark.sparkContext.broadcast(fit(pairs))
 
