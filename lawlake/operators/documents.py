@@ -183,12 +183,62 @@ def validate(all_nodes: DataFrame) -> DataFrame:
         say(units.where(F.col("tag").isin("section", "article") & (F.col("parent_pos") == 0)).join(whole.where("n_containers > 0"), "version_id"), "orphan_articles", "warning"),
         say(whole.where("n_units = 1 AND chars > 4000").withColumn("eid", F.lit(None).cast("string")), "structureless_body", "warning"),
     ]
+    found += _further(all_nodes, units, numbered, say)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
+def _further(all_nodes: DataFrame, units: DataFrame, numbered: DataFrame, say) -> list[DataFrame]:
+    """Checks that compare a unit with its neighbours, its words or the anchors of its text."""
+    text, w = F.col("text"), W.partitionBy("version_id", "parent_pos").orderBy("pos")
+    letters = units.withColumn("bis", eids.sibling_key(F.col("eid"))["bis"]).withColumn("n", eids.sibling_key(F.col("eid"))["n"])
+    letters = letters.withColumn("pb", F.lag("bis").over(w)).withColumn("pn", F.lag("n").over(w))
+    seam = units.where(F.length("text") > 200).where(F.substring(text, 81, 800).contains(F.substring(text, 1, 80)))
+    steps = numbered.withColumn("next", F.lead("n").over(W.partitionBy("version_id", "parent_pos", "tag").orderBy("pos")))
+    swallowed = steps.where("next > n + 1").where(text.contains(F.concat(F.lit("("), (F.col("n") + 1).cast("string"), F.lit(")"))))
+    last = units.withColumn("r", F.row_number().over(W.partitionBy("version_id").orderBy(F.desc("pos")))).where("r = 1")
+    headers = units.where(F.col("tag").isin("section", "article")).groupBy("version_id").agg(F.count("*").alias("k"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(?m)^\s*((?:Section|Article|Artikel|Abschnitt|Artículo) \d+)"), F.lit(1)))).alias("h"))
+    no_eid = F.lit(None).cast("string")
+    return [
+        say(letters.where("bis > 0 AND pn = n AND bis <= pb"), "collapsed_bis_article", "error"),
+        say(seam, "seam_duplication", "warning"),
+        say(swallowed, "swallowed_enumerator", "warning"),
+        say(numbered.where("n <= prev"), "undetected_amendment_shape", "warning"),
+        say(last.where(text.rlike(r"(?i)\b(done at|in witness whereof|geschehen zu|fait à|dado en|signed by)\b")), "displaced_terminal_material", "warning"),
+        say(units.where(text.rlike(r"(…|\.\.\.)\s*$") & text.rlike(r"(?i)^(be it enacted|it is hereby|le parlement|der landtag)")), "formula_truncated", "error"),
+        say(headers.where("h > k").withColumn("eid", no_eid), "header_coverage", "warning"),
+        say(units.where(F.col("tag").isin("section", "article") & F.col("heading").isNull() & F.col("num").isNull()), "unit_unidentified", "info"),
+        say(all_nodes.where((F.col("tag") == "ref") & (F.coalesce("href", F.lit("")) == "")), "reference_without_target", "warning"),
+    ]
+
+
+def document_checks(laws: DataFrame, today: str) -> DataFrame:
+    """``(law_id, check_name, severity)``: identity checks of works against their URI and the calendar."""
+    from lawlake.functions import uris
+
+    p = laws.select("id", "year", "number", uris.work_parts(F.col("frbr_work_uri")).alias("p"), uris.is_citable(F.col("frbr_work_uri")).alias("citable"))
+    limit = F.year(F.lit(today).cast("date"))
+    checks = F.array(
+        F.struct(F.lit("uncitable_work_uri").alias("check_name"), F.lit("warning").alias("severity"), (~F.col("citable")).alias("hit")),
+        F.struct(F.lit("identity_future_year").alias("check_name"), F.lit("error").alias("severity"), (F.col("year") > limit).alias("hit")),
+        F.struct(F.lit("identity_unconverted_year").alias("check_name"), F.lit("error").alias("severity"), F.col("year").between(2400, 2700).alias("hit")),
+        F.struct(F.lit("identity_implausible_year").alias("check_name"), F.lit("error").alias("severity"), (F.col("year") < 1200).alias("hit")),
+        F.struct(F.lit("identity_uri_mismatch").alias("check_name"), F.lit("error").alias("severity"), ((F.col("p.year") != F.col("year")) | (F.col("p.number") != F.col("number"))).alias("hit")),
+    )
+    rows = p.select(F.col("id").alias("law_id"), F.inline_outer(checks))
+    return rows.where("hit").drop("hit")
+
+
+def anchor_mismatch(all_nodes: DataFrame, anchored: DataFrame) -> DataFrame:
+    """``(version_id, kind, nodes, anchors, severity)``: kinds of which a text has other counts of anchors than its tree of nodes (anchored: version_id, anchors)."""
+    n = all_nodes.where(~F.col("quoted")).groupBy("version_id", F.col("tag").alias("kind")).agg(F.count("*").alias("nodes"))
+    a = anchored.select("version_id", F.explode("anchors.kind").alias("kind")).groupBy("version_id", "kind").agg(F.count("*").alias("anchors"))
+    both = a.join(n, ["version_id", "kind"], "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
+    return both.where("nodes <> anchors").withColumn("severity", F.when(F.col("nodes") < F.col("anchors"), "error").otherwise("warning"))
+
+
 def grade(findings: DataFrame, versions: DataFrame) -> DataFrame:
     """``(version_id, grade)``: blocking with an error, warning with one, clean else."""
     per = findings.groupBy("version_id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lawlake.functions import texts
-from lawlake.operators import bluebell, compare, graph, resolution, search, stores, versioned
+from lawlake.operators import bluebell, compare, documents, graph, resolution, search, stores, versioned
 from lawlake.operators.orphans import work_uri
 from lawlake.plans.reference import _EBASE, _EDGES, SQL_TOKENS, _edges, once, sql
 from lawlake.session import read
@@ -107,3 +107,11 @@ def reached_once(spark, d):
     """Two hops out from the last work, every work once."""
     e = _edges(spark, d)
     return graph.walk(e, e.agg(F.max("src").alias("node")), 2, once=True)
+
+
+@sql("""+ p AS (SELECT id, year, number, frbr_work_uri AS u, regexp_matches(frbr_work_uri, '^/akn/[a-z]{2}[^/]*/.+/(1[2-9]\\d\\d|20\\d\\d|21\\d\\d|2200)/[^/\\s]+$') AS ok, regexp_extract(frbr_work_uri, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 3) AS y, regexp_extract(frbr_work_uri, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 4) AS n FROM laws)
+SELECT id AS law_id, 'uncitable_work_uri' AS check_name, 'warning' AS severity FROM p WHERE NOT ok UNION ALL SELECT id, 'identity_future_year', 'error' FROM p WHERE year > 2025 UNION ALL SELECT id, 'identity_unconverted_year', 'error' FROM p WHERE year BETWEEN 2400 AND 2700
+UNION ALL SELECT id, 'identity_implausible_year', 'error' FROM p WHERE year < 1200 UNION ALL SELECT id, 'identity_uri_mismatch', 'error' FROM p WHERE (y <> '' AND try_cast(y AS INT) <> year) OR (n <> '' AND n <> number)""", "laws")
+def identity_checks(spark, d):
+    """Works whose identity can't be right."""
+    return documents.document_checks(once(spark, d, "laws"), "2025-12-31")

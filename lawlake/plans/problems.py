@@ -42,6 +42,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_articles, p4_found, p5_found, p6_found, p6_counts, p7_found)}
 SQL = {
+    "p5_found": problems_sql.P5,
     "p6_found": problems_sql.P6,
     "p6_counts": f"SELECT ref_field, period, reason, count(*) AS n_orphans FROM ({problems_sql.P6}) GROUP BY ref_field, period, reason",
     "p7_found": problems_sql.P7,

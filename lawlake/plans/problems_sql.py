@@ -47,3 +47,25 @@ SELECT k.target_frbr_uri, k.target_akn_wid, e.publisher_effect_id FROM k
 JOIN kinds e ON e.target_frbr_uri = k.target_frbr_uri AND e.target_akn_wid = k.target_akn_wid AND e.n = k.said
 WHERE k.put IS NOT NULL AND (k.gone IS NULL OR k.put > k.gone)
 """
+
+P5 = """
+WITH RECURSIVE last AS (
+  SELECT run_id, max_by(cutoff_at, (logged_at, lower(trim(status)))) AS cutoff_at, max_by(lower(trim(status)), (logged_at, lower(trim(status)))) AS status FROM acquisition_runs GROUP BY run_id),
+ok AS (SELECT run_id, cutoff_at, row_number() OVER (ORDER BY cutoff_at, run_id) AS idx FROM last WHERE status = 'success'),
+f AS (
+  SELECT fetch_id, any_value(source_url) AS url, any_value(fetched_at) AS fetched_at, min(landed_at) AS av,
+    any_value(nullif(regexp_replace(regexp_replace(trim(etag), '^[Ww]/', ''), '^"|"$', '', 'g'), '')) AS tag,
+    any_value(coalesce(epoch(try_strptime(last_modified, '%a, %d %b %Y %H:%M:%S GMT')), epoch(try_cast(CASE WHEN last_modified LIKE '____-__-__T%' THEN last_modified END AS TIMESTAMPTZ)))) AS lm
+  FROM acquired_documents GROUP BY fetch_id),
+g AS (SELECT f.*, (SELECT min(idx) FROM ok WHERE ok.cutoff_at >= f.av) AS idx FROM f),
+h AS (SELECT url, idx, max((fetched_at, fetch_id)) AS k, max_by({'tag': tag, 'lm': lm}, (fetched_at, fetch_id)) AS c FROM g WHERE idx IS NOT NULL GROUP BY url, idx),
+m AS (SELECT *, max(k) OVER (PARTITION BY url ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM h),
+s AS (SELECT url, idx, k[2] AS fetch_id, c.tag AS tag, c.lm AS lm, row_number() OVER (PARTITION BY url ORDER BY idx) AS rn FROM m WHERE was IS NULL OR k > was),
+w AS (
+  SELECT url, rn, idx, fetch_id, true AS is_case, fetch_id AS c_id, tag AS c_tag, lm AS c_lm FROM s WHERE rn = 1
+  UNION ALL
+  SELECT url, rn, idx, fetch_id, is_case, CASE WHEN is_case THEN fetch_id ELSE c_id END, CASE WHEN is_case THEN tag ELSE c_tag END, CASE WHEN is_case THEN lm ELSE c_lm END FROM (
+    SELECT s.*, w.c_id, w.c_tag, w.c_lm, CASE WHEN s.fetch_id = w.c_id THEN false WHEN s.tag IS NOT NULL AND w.c_tag IS NOT NULL THEN s.tag <> w.c_tag WHEN s.lm IS NOT NULL AND w.c_lm IS NOT NULL THEN s.lm <> w.c_lm ELSE true END AS is_case
+    FROM w JOIN s ON s.url = w.url AND s.rn = w.rn + 1))
+SELECT ok.run_id, w.fetch_id FROM w JOIN ok ON ok.idx = w.idx WHERE w.is_case
+"""
