@@ -25,24 +25,31 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: list[str]) -> DataFrame:
-    """``docs`` with ``score`` for those that hold a query term: idf ln(1 + (N - df + .5)/(df + .5)), k1 1.2, b .75."""
+def bm25(docs: DataFrame, text_col: str, query: list[str]) -> DataFrame:
+    """The other columns of ``docs`` with ``score`` where a query term occurs: idf ln(1 + (N - df + .5)/(df + .5)), k1 1.2, b .75.
+
+    Each text is reduced to its length and the counts of the terms where it is read; rows delivered twice
+    are dropped after that, so no text is shuffled.
+    """
     terms = list(dict.fromkeys(t.lower() for t in query))
-    toks = docs.withColumn("__t", tokens(F.col(text_col)))
-    stats = toks.agg(
-        F.count("*").alias("__n"), F.avg(F.size("__t")).alias("__avg"), *[F.count_if(F.array_contains("__t", t)).alias(f"__df{i}") for i, t in enumerate(terms)]
-    )
-    hit = toks.where(F.arrays_overlap("__t", F.array(*map(F.lit, terms)))) if terms else toks.where(F.lit(False))
-    norm = K1 * (1 - B + B * F.size("__t") / F.col("__avg"))
+    own = [c for c in docs.columns if c != text_col]
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter("__t", lambda x: x == term))
+
+    counted = docs.withColumn("__t", tokens(F.col(text_col))).select(*own, F.size("__t").alias("__len"), *[occurrences(t).alias(f"__tf{i}") for i, t in enumerate(terms)])
+    rows = counted.distinct()
+    tf = lambda i: F.col(f"__tf{i}")
+    stats = rows.agg(F.struct(F.count("*").alias("n"), F.avg("__len").alias("avg"), *[F.count_if(tf(i) > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
+    norm = K1 * (1 - B + B * F.col("__len") / F.col("__st.avg"))
 
-    def part(i: int, t: str) -> Column:
-        tf = F.size(F.filter("__t", lambda x: x == t))
-        idf = F.log(1 + (F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))
-        return idf * tf * (K1 + 1) / (tf + norm)
+    def part(i: int) -> Column:
+        idf = F.log(1 + (F.col("__st.n") - F.col(f"__st.df{i}") + 0.5) / (F.col(f"__st.df{i}") + 0.5))
+        return idf * tf(i) * (K1 + 1) / (tf(i) + norm)
 
-    score = reduce(lambda a, b: a + b, [part(i, t) for i, t in enumerate(terms)], F.lit(0.0))
-    scored = hit.join(F.broadcast(stats)).withColumn("score", F.round(score, 6))  # one row of statistics
-    return scored.select(*docs.columns, "score")
+    hit = reduce(lambda a, i: a | (tf(i) > 0), range(len(terms)), F.lit(False))
+    score = reduce(lambda a, i: a + part(i), range(len(terms)), F.lit(0.0))
+    return rows.where(hit).withColumn("__st", stats).withColumn("score", F.round(score, 6)).select(*own, "score")
 
 
 def top_k(scored: DataFrame, id_col: str, k: int, score: str = "score") -> DataFrame:
@@ -94,8 +101,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, id_col: str, vec_col: str, query: DataFrame, k: int) -> DataFrame:
     """The ``k`` rows nearest to the one vector of ``query`` (column ``q``), exact."""
-    scored = vectors.join(F.broadcast(query.select("q").limit(1))).withColumn("score", F.round(cosine(F.col(vec_col), F.col("q")), 6))
-    return scored.where("score IS NOT NULL").orderBy(F.desc("score"), id_col).limit(k).drop("q")
+    asked = vectors.withColumn("__q", query.select("q").limit(1).scalar())
+    scored = asked.withColumn("score", F.round(cosine(F.col(vec_col), F.col("__q")), 6)).drop("__q")
+    return scored.where("score IS NOT NULL").orderBy(F.desc("score"), id_col).limit(k)
 
 
 def reciprocal_rank_fusion(arms: list[DataFrame], id_col: str, k: int, rrf_k: int = RRF_K) -> DataFrame:

@@ -53,9 +53,8 @@ def keyset_page(df: DataFrame, created: str, id_col: str, size: int, cursor_id:
     order = [F.desc(created), F.desc(id_col)]
     if cursor_id is None:
         return df.orderBy(*order).limit(size)
-    at = df.where(F.col(id_col) == F.lit(cursor_id)).select(F.col(created).alias("__c"), F.col(id_col).alias("__i")).limit(1)
-    after = (F.col(created) < F.col("__c")) | (F.col(created) == F.col("__c")) & (F.col(id_col) < F.col("__i"))
-    return df.join(F.broadcast(at), after).drop("__c", "__i").orderBy(*order).limit(size)
+    at = df.where(F.col(id_col) == F.lit(cursor_id)).select(F.struct(F.col(created).alias("c"), F.col(id_col).alias("i"))).limit(1).scalar()
+    return df.where(F.struct(F.col(created).alias("c"), F.col(id_col).alias("i")) < at).orderBy(*order).limit(size)
 
 
 def ranked_by_case(df: DataFrame, column: str, ranks: list[str], then: list[Column], size: int) -> DataFrame:

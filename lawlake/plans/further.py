@@ -85,7 +85,7 @@ def law_listing(spark, d):
     """Laws by normative provisions, doctypes ranked."""
     rank = F.when(F.col("doctype") == "act", 0).when(F.col("doctype") == "decree", 1).otherwise(2)
     laws = once(spark, d, "laws").select("id", rank.alias("rank"))
-    of = once(spark, d, "versions").select(F.col("id").alias("version_id"), "law_id")
+    of = once(spark, d, "versions", "law_id").select(F.col("id").alias("version_id"), "law_id")
     matches = once(spark, d, "provisions").where("normative").join(of, "version_id").groupBy(F.col("law_id").alias("id")).agg(F.count("*").cast("double").alias("score"))
     return versioned.listing(laws, matches).select("id", "order_score")
 

@@ -34,8 +34,10 @@ def sql(text: str, *base: str) -> Callable:
     return add
 
 
-def once(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return read(spark, d, table).dropDuplicates(["id"])
+def once(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    """A table without repeated deliveries. Of named columns distinct rows are hashed; without names whole rows are kept by id."""
+    rows = read(spark, d, table)
+    return rows.select("id", *columns).distinct() if columns else rows.dropDuplicates(["id"])
 
 
 TERMS = ["drinking", "water", "certificate"]
@@ -47,7 +49,7 @@ scored AS (SELECT id, version_id, round({' + '.join(f"ln(1 + (n - df{i} + 0.5) /
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25(once(spark, d, "provisions").select("id", "version_id", "text"), "id", "text", TERMS)
+    return search.bm25(read(spark, d, "provisions").select("id", "version_id", "text"), "text", TERMS)
 
 
 @sql(_BM25 + " SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 50", "provisions")
@@ -64,8 +66,8 @@ def lexical_top_per_group(spark, d):
 @sql(_BM25 + ", hits AS (SELECT v.law_id, count(*) AS n_hits, max(score) AS best FROM scored s JOIN versions v ON v.id = s.version_id GROUP BY v.law_id) SELECT law_id, n_hits, best, count(*) OVER () AS total FROM hits ORDER BY n_hits DESC, law_id LIMIT 20", "provisions", "versions")
 def laws_by_matches(spark, d):
     """Laws by matching provisions, the total riding on the page."""
-    hits = _scored(spark, d).join(once(spark, d, "versions").select(F.col("id").alias("version_id"), "law_id"), "version_id").groupBy("law_id").agg(F.count("*").alias("n_hits"), F.max("score").alias("best"))
-    return hits.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total")))).orderBy(F.desc("n_hits"), "law_id").limit(20)  # the total is one row
+    hits = _scored(spark, d).join(once(spark, d, "versions", "law_id").select(F.col("id").alias("version_id"), "law_id"), "version_id").groupBy("law_id").agg(F.count("*").alias("n_hits"), F.max("score").alias("best"))
+    return hits.withColumn("total", hits.agg(F.count("*")).scalar()).orderBy(F.desc("n_hits"), "law_id").limit(20)
 
 
 @sql(f"SELECT term, count(*) AS ndoc FROM (SELECT DISTINCT id, unnest({SQL_TOKENS.format('text')}) AS term FROM provisions) WHERE strlen(term) <= 128 GROUP BY term", "provisions")
@@ -122,23 +124,23 @@ SELECT id, round(sum(1.0 / (60 + rn)), 9) AS rrf_score FROM f GROUP BY id ORDER
 def rrf_hybrid(spark, d):
     """A lexical list over documents' titles and a dense one over embeddings (same ids), fused."""
     docs = read(spark, d, "documents").select("doc_id", "title")
-    lexical = search.top_k(search.bm25(docs, "doc_id", "title", ["water", "act"]), "doc_id", 30).select(F.col("doc_id").alias("id"), "score")
+    lexical = search.top_k(search.bm25(docs, "title", ["water", "act"]), "doc_id", 30).select(F.col("doc_id").alias("id"), "score")
     return search.reciprocal_rank_fusion([lexical, _dense(spark, d).withColumnRenamed("vec_id", "id")], "id", 10)
 
 
 @sql("SELECT law_id, id, language FROM (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY (language = 'eng')::INT DESC, expression_date DESC NULLS LAST, ingested_at DESC NULLS LAST, id) AS rn FROM versions) WHERE rn = 1", "versions")
 def latest_preferred(spark, d):
-    return versioned.latest_by_language(once(spark, d, "versions"), "eng").select("law_id", "id", "language")
+    return versioned.latest_by_language(once(spark, d, "versions", "law_id", "language", "expression_date", "ingested_at"), "eng").select("law_id", "id", "language")
 
 
 @sql("SELECT law_id, id FROM (SELECT *, row_number() OVER (PARTITION BY law_id ORDER BY expression_date DESC NULLS LAST, ingested_at DESC NULLS LAST, id) AS rn FROM versions WHERE parent_version_id IS NULL) WHERE rn = 1", "versions")
 def current_versions(spark, d):
-    return versioned.current_versions(once(spark, d, "versions")).select("law_id", "id")
+    return versioned.current_versions(once(spark, d, "versions", "law_id", "parent_version_id", "expression_date", "ingested_at")).select("law_id", "id")
 
 
 @sql("SELECT id, jurisdiction_code, year FROM laws WHERE jurisdiction_code IN ('xb', 'xd', 'xg') AND (year BETWEEN 1990 AND 2015 OR year IS NULL) AND doctype IN ('act', 'order')", "laws")
 def scope_filter(spark, d):
-    return once(spark, d, "laws").where(versioned.scope(["xb", "xd", "xg"], (1990, 2015), ["act", "order"])).select("id", "jurisdiction_code", "year")
+    return once(spark, d, "laws", "jurisdiction_code", "year", "doctype").where(versioned.scope(["xb", "xd", "xg"], (1990, 2015), ["act", "order"])).select("id", "jurisdiction_code", "year")
 
 
 @sql("SELECT event_id, ts FROM events WHERE (ts, event_id) < (SELECT (ts, event_id) FROM events WHERE event_id = 100) ORDER BY ts DESC, event_id DESC LIMIT 25")
@@ -148,12 +150,12 @@ def keyset_page(spark, d):
 
 @sql("SELECT CASE doctype WHEN 'act' THEN 1 WHEN 'decree' THEN 2 WHEN 'regulation' THEN 3 ELSE 4 END AS rank, id, year FROM laws ORDER BY rank, year DESC NULLS LAST, id LIMIT 100", "laws")
 def review_queue(spark, d):
-    return versioned.ranked_by_case(once(spark, d, "laws").select("id", "year", "doctype"), "doctype", ["act", "decree", "regulation"], [F.desc_nulls_last("year"), F.asc("id")], 100).select("rank", "id", "year")
+    return versioned.ranked_by_case(once(spark, d, "laws", "year", "doctype"), "doctype", ["act", "decree", "regulation"], [F.desc_nulls_last("year"), F.asc("id")], 100).select("rank", "id", "year")
 
 
 @sql("RECURSIVE + w AS (SELECT id, id AS ancestor_id, 0 AS depth FROM versions UNION ALL SELECT w.id, p.parent_version_id, w.depth + 1 FROM w JOIN versions p ON p.id = w.ancestor_id WHERE p.parent_version_id IS NOT NULL AND w.depth < 100) SELECT id, ancestor_id, depth FROM w", "versions")
 def version_lineage(spark, d):
-    return versioned.lineage(once(spark, d, "versions").select("id", "parent_version_id"))
+    return versioned.lineage(once(spark, d, "versions", "parent_version_id"))
 
 
 _EDGES = f"""+ e AS (SELECT a.id AS effect_id, {SQL_URI.format('l.frbr_work_uri')} AS src, {SQL_URI.format('a.target_frbr_uri')} AS dst, a.akn_category, a.akn_action
@@ -211,7 +213,7 @@ SELECT * FROM (SELECT work, target_akn_wid, CASE WHEN r IS NOT NULL THEN 'repeal
  CASE WHEN r IS NOT NULL THEN r WHEN named AND live IS NULL THEN fut ELSE coalesce(t, o, live) END AS since FROM g) WHERE state IS NOT NULL""", "amendment_effects")
 def state_at(spark, d):
     """Every provision's state on a day."""
-    effects = once(spark, d, "amendment_effects").withColumn("work", work_uri(F.col("target_frbr_uri")))
+    effects = once(spark, d, "amendment_effects", "target_frbr_uri", "target_akn_wid", "in_force_date", "applied", "akn_action").withColumn("work", work_uri(F.col("target_frbr_uri")))
     return timeline.state_at(effects, "work", "target_akn_wid", "2015-06-30")
 
 
@@ -222,12 +224,12 @@ SELECT count(*) FILTER (WHERE target_akn_wid IS NULL AND by_now) AS no_target,
  count(*) FILTER (WHERE target_akn_wid IS NOT NULL AND ok AND d IS NOT NULL AND k = 'text') AS needs_text,
  count(*) FILTER (WHERE target_akn_wid IS NOT NULL AND ok AND d IS NOT NULL AND k = 'other') AS out_of_scope FROM x""", "amendment_effects")
 def timeline_holes(spark, d):
-    return timeline.holes(once(spark, d, "amendment_effects"), "target_akn_wid", "2015-06-30")
+    return timeline.holes(once(spark, d, "amendment_effects", "target_akn_wid", "in_force_date", "applied", "akn_action"), "target_akn_wid", "2015-06-30")
 
 
 @sql(f"SELECT DISTINCT {SQL_URI.format('target_frbr_uri')} AS work, in_force_date FROM amendment_effects WHERE in_force_date IS NOT NULL", "amendment_effects")
 def change_dates(spark, d):
-    return timeline.change_dates(once(spark, d, "amendment_effects").withColumn("work", work_uri(F.col("target_frbr_uri"))), "work")
+    return timeline.change_dates(once(spark, d, "amendment_effects", "target_frbr_uri", "in_force_date").withColumn("work", work_uri(F.col("target_frbr_uri"))), "work")
 
 
 _FIND = """+ f AS (SELECT l.jurisdiction_code, p.akn_type AS check_name, p.excluded_from_pool AS failed, p.created_at FROM provisions p JOIN versions v ON v.id = p.version_id JOIN laws l ON l.id = v.law_id)"""
@@ -237,8 +239,8 @@ _FBASE = ("provisions", "versions", "laws")
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     """Exclusion of a provision from the pool as a check with three outcomes."""
-    law = once(spark, d, "versions").select(F.col("id").alias("version_id"), "law_id").join(once(spark, d, "laws").select(F.col("id").alias("law_id"), "jurisdiction_code"), "law_id")
-    return once(spark, d, "provisions").join(law, "version_id").select("jurisdiction_code", F.col("akn_type").alias("check_name"), F.col("excluded_from_pool").alias("failed"), "created_at")
+    law = once(spark, d, "versions", "law_id").select(F.col("id").alias("version_id"), "law_id").join(once(spark, d, "laws", "jurisdiction_code").select(F.col("id").alias("law_id"), "jurisdiction_code"), "law_id")
+    return once(spark, d, "provisions", "version_id", "akn_type", "excluded_from_pool", "created_at").join(law, "version_id").select("jurisdiction_code", F.col("akn_type").alias("check_name"), F.col("excluded_from_pool").alias("failed"), "created_at")
 
 
 @sql(f"{_FIND} SELECT jurisdiction_code, check_name, {_RATE} FROM f GROUP BY jurisdiction_code, check_name", *_FBASE)
@@ -261,12 +263,12 @@ def scanned_distinct(spark, d):
 
 @sql("SELECT version_id, CASE WHEN count(*) FILTER (WHERE excluded_from_pool IS NULL) > 0 THEN NULL ELSE round(count(*) FILTER (WHERE excluded_from_pool) / count(*), 6) END AS share FROM provisions GROUP BY version_id", "provisions")
 def excluded_share(spark, d):
-    return findings.share_or_null(once(spark, d, "provisions"), ["version_id"], "excluded_from_pool")
+    return findings.share_or_null(once(spark, d, "provisions", "version_id", "excluded_from_pool"), ["version_id"], "excluded_from_pool")
 
 
 @sql("SELECT 'doctype' AS facet, doctype AS value, count(*) AS n FROM laws WHERE status = 'enacted' GROUP BY doctype UNION ALL SELECT 'status', status, count(*) FROM laws WHERE doctype = 'act' GROUP BY status", "laws")
 def facets_skip_own(spark, d):
-    return findings.facets(once(spark, d, "laws"), {"doctype": F.col("doctype") == "act", "status": F.col("status") == "enacted"})
+    return findings.facets(once(spark, d, "laws", "doctype", "status"), {"doctype": F.col("doctype") == "act", "status": F.col("status") == "enacted"})
 
 
 @sql("SELECT o_custkey, o_orderkey, count(l_orderkey) AS n_rows, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o_custkey, o_orderkey")
@@ -278,18 +280,18 @@ def latest_run_rollup(spark, d):
 
 @sql("SELECT j.code, count(l.id) AS n FROM jurisdictions j LEFT JOIN (SELECT * FROM laws WHERE deleted_at IS NOT NULL) l ON l.jurisdiction_code = j.code GROUP BY j.code", "laws")
 def zero_counts(spark, d):
-    gone = once(spark, d, "laws").where("deleted_at IS NOT NULL")
+    gone = once(spark, d, "laws", "jurisdiction_code", "deleted_at").where("deleted_at IS NOT NULL")
     return findings.zero_preserving_counts(read(spark, d, "jurisdictions").select("code"), gone, "code", "jurisdiction_code", "id")
 
 
 @sql("SELECT split_part(akn_eid, '__', 1) AS outer_eid, akn_type, count(*) AS n FROM provisions GROUP BY 1, 2", "provisions")
 def findings_by_unit(spark, d):
-    return once(spark, d, "provisions").groupBy(findings.outermost(F.col("akn_eid")).alias("outer_eid"), "akn_type").agg(F.count("*").alias("n"))
+    return once(spark, d, "provisions", "akn_eid", "akn_type").groupBy(findings.outermost(F.col("akn_eid")).alias("outer_eid"), "akn_type").agg(F.count("*").alias("n"))
 
 
 @sql("SELECT id FROM provisions WHERE akn_eid = 'sec_5' OR starts_with(akn_eid, 'sec_5__')", "provisions")
 def findings_under_unit(spark, d):
-    return once(spark, d, "provisions").where(findings.under_eid(F.col("akn_eid"), "sec_5")).select("id")
+    return once(spark, d, "provisions", "akn_eid").where(findings.under_eid(F.col("akn_eid"), "sec_5")).select("id")
 
 
 @sql("SELECT e.event_id, p.prior_event_type FROM events e LEFT JOIN (SELECT user_id, max_by(event_type, (ts, event_type)) AS prior_event_type FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id) p USING (user_id) WHERE e.ts >= TIMESTAMP '2024-01-15'")
@@ -383,7 +385,7 @@ def duplicate_texts(spark, d):
 
 @sql("SELECT version_id, akn_eid, count(*) AS n FROM provisions GROUP BY version_id, akn_eid HAVING count(*) > 1", "provisions")
 def duplicate_eids(spark, d):
-    return once(spark, d, "provisions").groupBy("version_id", "akn_eid").agg(F.count("*").alias("n")).where("n > 1")
+    return once(spark, d, "provisions", "version_id", "akn_eid").groupBy("version_id", "akn_eid").agg(F.count("*").alias("n")).where("n > 1")
 
 
 _RED = "coalesce(text, '')"
@@ -398,7 +400,7 @@ def redact(spark, d):
 
 @sql("SELECT jurisdiction_code, m, n, CASE WHEN n < 5 THEN 'insufficient' WHEN m / n >= 0.85 THEN 'full' WHEN m / n >= 0.5 THEN 'partial' ELSE 'low' END AS level FROM (SELECT jurisdiction_code, count(*) FILTER (WHERE status = 'enacted') AS m, count(*) AS n FROM laws GROUP BY jurisdiction_code)", "laws")
 def alignment_level(spark, d):
-    g = once(spark, d, "laws").groupBy("jurisdiction_code").agg(F.count_if(F.col("status") == "enacted").alias("m"), F.count("*").alias("n"))
+    g = once(spark, d, "laws", "jurisdiction_code", "status").groupBy("jurisdiction_code").agg(F.count_if(F.col("status") == "enacted").alias("m"), F.count("*").alias("n"))
     return g.withColumn("level", quality.alignment_level(F.col("m"), F.col("n")))
 
 

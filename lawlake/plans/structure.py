@@ -57,25 +57,25 @@ def rebuilt_documents(spark, d):
 @sql("SELECT id, len(string_split(akn_eid, '__')) AS depth, CASE WHEN contains(akn_eid, '__') THEN array_to_string(string_split(akn_eid, '__')[:-2], '__') END AS parent FROM provisions", "provisions")
 def eid_parents(spark, d):
     e = F.col("akn_eid")
-    return once(spark, d, "provisions").select("id", eids.depth(e).alias("depth"), eids.parent(e).alias("parent"))
+    return once(spark, d, "provisions", "akn_eid").select("id", eids.depth(e).alias("depth"), eids.parent(e).alias("parent"))
 
 
 @sql("+ k AS (SELECT version_id, id, position, regexp_replace(regexp_replace(akn_eid, '(\\d+)', '000000000\\1', 'g'), '0*(\\d{9})([^\\d]|$)', '\\1\\2', 'g') AS k FROM provisions) SELECT id, row_number() OVER (PARTITION BY version_id ORDER BY k, id) AS rn FROM k", "provisions")
 def eid_document_order(spark, d):
     """Provisions numbered in the order of their ids, numbers by value."""
-    keyed = once(spark, d, "provisions").select("id", "version_id", eids.order_key(F.col("akn_eid")).alias("k"))
+    keyed = once(spark, d, "provisions", "version_id", "akn_eid").select("id", "version_id", eids.order_key(F.col("akn_eid")).alias("k"))
     return keyed.selectExpr("id", "row_number() OVER (PARTITION BY version_id ORDER BY k, id) AS rn")
 
 
 @sql("SELECT id, regexp_extract(u, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 1) AS country, regexp_extract(u, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 2) AS doctype, regexp_extract(u, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 3)::INT AS year, regexp_extract(u, '^/akn/([a-z]{2}(?:-[a-z0-9]+)?)/(.+)/(\\d{4})/([^/@]+)', 4) AS number FROM (SELECT id, frbr_work_uri AS u FROM laws)", "laws")
 def work_uri_parts(spark, d):
-    return once(spark, d, "laws").select("id", uris.work_parts(F.col("frbr_work_uri")).alias("p")).select("id", "p.*")
+    return once(spark, d, "laws", "frbr_work_uri").select("id", uris.work_parts(F.col("frbr_work_uri")).alias("p")).select("id", "p.*")
 
 
 @sql("SELECT id, nullif(regexp_extract(expression_uri, '/([a-z]{3})(?:@[^/]*)?$', 1), '') AS lang, try_cast(nullif(regexp_extract(expression_uri, '@(\\d{4}-\\d{2}-\\d{2})', 1), '') AS DATE) AS on_date FROM versions", "versions")
 def expression_uri_parts(spark, d):
     u = F.col("expression_uri")
-    return once(spark, d, "versions").select("id", uris.expression_language(u).alias("lang"), uris.expression_date(u).alias("on_date"))
+    return once(spark, d, "versions", "expression_uri").select("id", uris.expression_language(u).alias("lang"), uris.expression_date(u).alias("on_date"))
 
 
 @sql("+ c AS (SELECT body_id, nullif(lower(trim(language)), '') AS c FROM bodies) SELECT body_id, CASE c WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'ger' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'fre' THEN 'fra' WHEN 'es' THEN 'spa' ELSE c END AS lang FROM c")
@@ -87,14 +87,14 @@ def body_languages(spark, d):
 @sql("")
 def stemmed_tokens(spark, d):
     """Search tokens of every provision in its version's language: normal form, case fold, light stem."""
-    lang = once(spark, d, "versions").select(F.col("id").alias("version_id"), "language")
+    lang = once(spark, d, "versions", "language").select(F.col("id").alias("version_id"), "language")
     rows = once(spark, d, "provisions").join(lang, "version_id", "left")
     return rows.select("id", texts.search_tokens("text", "language").alias("tokens"))
 
 
 def _resolved(spark, d):
     refs = once(spark, d, "amendment_effects").select(F.col("id").alias("ref_id"), F.col("target_frbr_uri").alias("uri"), F.col("target_akn_wid").alias("wid"))
-    current = versioned.current_versions(once(spark, d, "versions")).select("law_id", F.col("id").alias("version_id"))
+    current = versioned.current_versions(once(spark, d, "versions", "law_id", "parent_version_id", "expression_date", "ingested_at")).select("law_id", F.col("id").alias("version_id"))
     return resolution.resolve(refs, once(spark, d, "laws"), current, once(spark, d, "provisions"))
 
 
@@ -229,7 +229,7 @@ def align_topk(spark, d):
 def clause_parity(spark, d):
     """Versions that have lost clauses against the version they derive from."""
     n = once(spark, d, "provisions").where(F.col("akn_type").isin("paragraph", "point")).groupBy("version_id").agg(F.count("*").alias("n"))
-    v = once(spark, d, "versions").where("parent_version_id IS NOT NULL").select("id", "parent_version_id")
+    v = once(spark, d, "versions", "parent_version_id").where("parent_version_id IS NOT NULL")
     both = v.join(n.select(F.col("version_id").alias("id"), F.col("n").alias("t")), "id", "left").join(n.select(F.col("version_id").alias("parent_version_id"), F.col("n").alias("s")), "parent_version_id", "left")
     return quality.clause_parity(both.select("id", F.coalesce("s", F.lit(0)).alias("source"), F.coalesce("t", F.lit(0)).alias("target")))
 
@@ -247,7 +247,7 @@ def corpus_totals(spark, d):
 @sql("+ g AS (SELECT p.id, p.version_id, l.doctype, md5(p.id) AS h FROM provisions p JOIN versions v ON v.id = p.version_id JOIN laws l ON l.id = v.law_id WHERE p.text <> ''), r AS (SELECT *, row_number() OVER (PARTITION BY doctype ORDER BY h) AS rn FROM g) SELECT id, doctype FROM r ORDER BY rn, doctype LIMIT 40", "provisions", "versions", "laws")
 def stratified_sample(spark, d):
     """A sample that takes strata in turn, by hash order (the sample is the feature)."""
-    law = once(spark, d, "versions").select(F.col("id").alias("version_id"), "law_id").join(once(spark, d, "laws").select(F.col("id").alias("law_id"), "doctype"), "law_id")
+    law = once(spark, d, "versions", "law_id").select(F.col("id").alias("version_id"), "law_id").join(once(spark, d, "laws", "doctype").select(F.col("id").alias("law_id"), "doctype"), "law_id")
     return quality.round_robin(once(spark, d, "provisions").where("text <> ''").join(law, "version_id"), "doctype", "id", 40).select("id", "doctype")
 
 

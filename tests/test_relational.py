@@ -59,9 +59,9 @@ def test_walk_by_paths_closes_cycles_once(spark):
 
 def test_bm25_and_fusion(spark):
     docs = spark.createDataFrame([(1, "Water water act"), (2, "the WATER"), (3, None), (4, ""), (5, "Straße")], "id int, text string")
-    s = {r.id: r.score for r in search.bm25(docs, "id", "text", ["water", "water"]).collect()}
+    s = {r.id: r.score for r in search.bm25(docs, "text", ["water", "water"]).collect()}
     assert set(s) == {1, 2} and s[1] > 0
-    assert search.bm25(docs, "id", "text", []).count() == 0 and search.bm25(docs.limit(0), "id", "text", ["x"]).count() == 0
+    assert search.bm25(docs, "text", []).count() == 0 and search.bm25(docs.limit(0), "text", ["x"]).count() == 0
     a = spark.createDataFrame([(1, 9.0), (2, 8.0)], "id int, score double")
     b = spark.createDataFrame([(2, 5.0), (3, 5.0)], "id int, score double")
     fused = [(r.id, round(r.rrf_score, 6)) for r in search.reciprocal_rank_fusion([a, b], "id", 3).collect()]
