@@ -118,5 +118,3 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def document_items(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return bpe.token_counts(docs, vocabulary=vocabulary)
 
-
-__all__ = ["CAPACITY", "WINDOW", "closest_fill", "document_items", "fill_report", "pack", "pack_window"]

@@ -425,9 +425,11 @@ def align_documents(model: Model, la: str, lb: str, a: list[list[str]], b: list[
     for i, j in sorted(map(tuple, cells), key=lambda c: (-strength[c], c)):
         if (i, j) not in chosen and fits(i, j) and covered_a[i] < 0.8 and covered_b[j] < 0.8:
             take(i, j)
+    # a sentence that was merged or divided has room for a partner that nothing else renders yet
     for i, j in sorted(map(tuple, cells), key=lambda c: (-strength[c], c)):
-        room = covered_a[i] < 0.8 and covered_a[i] + in_b[i, j] < 1.25 and covered_b[j] < 0.35 or covered_b[j] < 0.8 and covered_b[j] + in_a[i, j] < 1.25 and covered_a[i] < 0.35
-        if (i, j) not in chosen and fits(i, j) and room:
+        room_a = covered_a[i] < 0.8 and covered_a[i] + in_b[i, j] < 1.25 and covered_b[j] < 0.35
+        room_b = covered_b[j] < 0.8 and covered_b[j] + in_a[i, j] < 1.25 and covered_a[i] < 0.35
+        if (i, j) not in chosen and fits(i, j) and (room_a or room_b):
             take(i, j)
     return sorted(chosen)
 
