@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lawlake.functions import texts
-from lawlake.operators import bluebell, compare, documents, graph, resolution, search, stores, versioned
+from lawlake.operators import bluebell, classify, compare, documents, graph, resolution, search, stores, translation, versioned
 from lawlake.operators.orphans import work_uri
 from lawlake.plans.reference import _EBASE, _EDGES, SQL_TOKENS, _edges, once, sql
 from lawlake.session import read
@@ -115,3 +115,31 @@ UNION ALL SELECT id, 'identity_implausible_year', 'error' FROM p WHERE year < 12
 def identity_checks(spark, d):
     """Works whose identity can't be right."""
     return documents.document_checks(once(spark, d, "laws"), "2025-12-31")
+
+
+_RULES = [
+    classify.Rule("consolidation", "title", r"(?iu)consolidat|consolidée|texto refundido", priority=3),
+    classify.Rule("amending", "title", r"(?iu)amendment|änderung|modificat", priority=2),
+    classify.Rule("order", "title", r"(?iu)\border\b|verordnung|arrêté|orden\b", priority=1),
+]
+_ERAS = [("early", None, 1989), ("middle", 1989, 2009), ("late", 2010, None)]
+
+
+@sql("SELECT CASE WHEN regexp_matches(title, '(?i)consolidat|consolidée|texto refundido') THEN 'consolidation' WHEN regexp_matches(title, '(?i)amendment|änderung|modificat') THEN 'amending' WHEN regexp_matches(title, '(?i)\\border\\b|verordnung|arrêté|orden\\b') THEN 'order' END AS class, CASE WHEN year IS NULL THEN 'unknown' WHEN year <= 1989 THEN 'early' WHEN year <= 2009 THEN 'middle' ELSE 'late' END AS era, count(*) AS n FROM laws GROUP BY 1, 2", "laws")
+def document_classes(spark, d):
+    """Laws by declared class and era."""
+    laws = once(spark, d, "laws", "title", "year")
+    return laws.groupBy(classify.document_class(_RULES).alias("class"), classify.era(F.col("year"), _ERAS).alias("era")).agg(F.count("*").alias("n"))
+
+
+@sql("""+ v AS (SELECT id, parent_version_id AS p FROM versions WHERE parent_version_id IS NOT NULL), u AS (SELECT version_id, akn_wid, min(text) AS text FROM provisions GROUP BY version_id, akn_wid),
+s AS (SELECT v.id, u.akn_wid, u.text FROM v JOIN u ON u.version_id = v.p), t AS (SELECT v.id, u.akn_wid, u.text FROM v JOIN u ON u.version_id = v.id)
+SELECT check_name, count(*) AS n FROM (SELECT CASE WHEN t.id IS NULL THEN 'unit_missing' WHEN s.id IS NULL THEN 'unit_added' END AS check_name FROM s FULL JOIN t ON s.id = t.id AND s.akn_wid = t.akn_wid) WHERE check_name IS NOT NULL GROUP BY check_name""", "versions", "provisions")
+def derived_unit_changes(spark, d):
+    """Units that derived versions lack or add against the version they derive from."""
+    v = once(spark, d, "versions", "parent_version_id").where("parent_version_id IS NOT NULL")
+    u = once(spark, d, "provisions", "version_id", "akn_wid", "text").groupBy("version_id", "akn_wid").agg(F.min("text").alias("text"))
+    source = v.join(u.withColumnRenamed("version_id", "parent_version_id"), "parent_version_id").select("id", "akn_wid", "text")
+    target = v.join(u.withColumnRenamed("version_id", "id"), "id").select("id", "akn_wid", "text")
+    found = translation.audit(source, target, ["id", "akn_wid"])
+    return found.where("check_name IN ('unit_missing', 'unit_added')").groupBy("check_name").agg(F.count("*").alias("n"))
