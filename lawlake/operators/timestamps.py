@@ -11,7 +11,7 @@ Defined results: null and blank values yield no row; what states no real date or
 25:00, a 13th month of 7 days, "unknown") is ``unreadable``; a calendar label that isn't known counts as
 Gregorian; values without a day can't carry a time; a year or month alone is converted only where the
 calendar's years and months are Gregorian ones (Buddhist era, Minguo), else it is ``unreadable``; a value
-without a known jurisdiction is read as Gregorian, day first, and its local time as UTC; repeated rows
+without a known jurisdiction is read as Gregorian, day first; a local time without a known zone counts as UTC; repeated rows
 yield one row.
 """
 
@@ -226,27 +226,28 @@ def parse(df: DataFrame, raw: str, calendar: str, order: str) -> DataFrame:
 def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """``(zone, year, spans)``: per zone and year the local-time intervals of each offset, as seconds since 1970.
 
-    ``zones`` holds distinct zone names in column ``zone``; an unknown name counts as UTC. One row per zone
-    and year; computed on the executors.
+    ``zones`` holds distinct zone names in column ``zone``; names of no zone yield nothing. One row per zone and
+    year, so at most (zones of the time zone database, about 600) x (years) rows; computed on the executors.
+    The offsets of the first and last year hold before and after.
     """
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from datetime import datetime, timedelta, timezone
-        from zoneinfo import ZoneInfo
+        from zoneinfo import ZoneInfo, available_timezones
 
+        known, ever = available_timezones(), 1 << 50
         base = datetime(1970, 1, 1, tzinfo=timezone.utc)
         for frame in frames:
             out = []
             for name in frame["zone"]:
-                try:
-                    zone = ZoneInfo(name)
-                except Exception:  # noqa: BLE001  (not a zone)
-                    zone = ZoneInfo("UTC")
+                if name not in known:
+                    continue
+                zone = ZoneInfo(name)
                 offset = lambda t: int((base + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())  # noqa: B023, E731
                 start = int((datetime(first - 1, 12, 1, tzinfo=timezone.utc) - base).total_seconds())
                 stop = int((datetime(last + 1, 2, 1, tzinfo=timezone.utc) - base).total_seconds())
                 spans, t, off, step = [], start, offset(start), 4 * 86400
-                begun = t
+                begun = -ever
                 while t < stop:
                     if (new := offset(t + step)) != off:
                         lo, hi = t, t + step
@@ -257,7 +258,7 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
                         begun, off, t = hi, offset(hi), hi
                         continue
                     off, t = new, t + step
-                spans.append((begun + off, stop + off, off))
+                spans.append((begun + off, ever, off))
                 for year in range(first, last + 1):
                     lo = int((datetime(year, 1, 1, tzinfo=timezone.utc) - base).total_seconds())
                     hi = int((datetime(year + 1, 1, 1, tzinfo=timezone.utc) - base).total_seconds()) if year < 9999 else stop
@@ -274,9 +275,10 @@ def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str,
     local = p("days").cast("bigint") * 86400 + p("sec")
     year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.year(F.date_add(F.lit("1970-01-01").cast("date"), p("days")))))
     waits = (p("kind") == "time") & p("off").isNull()
-    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.coalesce(F.col(zone), F.lit("UTC"))), "__year": F.when(waits, year)})
+    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.col(zone)), "__year": F.when(waits, year)})
     spans = zones.select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
-    met = asked.join(spans, ["__zone", "__year"], "left")
+    # proven small (see zone_intervals), and most rows wait for no zone: their null keys must not meet in one task
+    met = asked.join(F.broadcast(spans), ["__zone", "__year"], "left")
     met = met.withColumn("__hits", F.filter("__spans", lambda s: (s["lo"] <= F.col("__local")) & (F.col("__local") < s["hi"])))
     utc = F.col("__local") - F.coalesce(p("off"), F.try_element_at("__hits", F.lit(1))["off"])
     in_day = F.pmod(utc, F.lit(86400))
@@ -287,7 +289,7 @@ def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str,
         .when(p("kind") == "year", F.lpad(p("y").cast("string"), 4, "0"))
         .when(p("kind") == "month", F.format_string("%04d-%02d", p("y"), p("m")))
         .when(p("kind") == "day", F.date_add(F.lit("1970-01-01").cast("date"), p("days")).cast("string"))
-        .when(p("off").isNotNull(), stamp)
+        .when(p("off").isNotNull() | F.col("__spans").isNull(), stamp)
         .when(F.size("__hits") > 1, "ambiguous")
         .when(F.size("__hits") == 1, stamp)
         .otherwise("nonexistent")
@@ -305,5 +307,5 @@ def found(descriptors: DataFrame, acquired: DataFrame, jurisdictions: DataFrame)
     )
     known = stated.where("raw IS NOT NULL").join(rules, "jurisdiction_code", "left")
     known = known.withColumn("calendar", F.coalesce("calendar", F.lit("gregorian"))).withColumn("date_order", F.lower(F.coalesce("date_order", F.lit("dmy"))))
-    zones = zone_intervals(rules.select("zone").where("zone IS NOT NULL").unionByName(rules.sparkSession.createDataFrame([("UTC",)], "zone string")).distinct())
+    zones = zone_intervals(rules.select("zone").where("zone IS NOT NULL").distinct())
     return normalise(known, "raw", "calendar", "date_order", "zone", zones).select("source_table", "record_id", "norm_value").distinct()
