@@ -280,7 +280,7 @@ def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str,
     # proven small (see zone_intervals), and most rows wait for no zone: their null keys must not meet in one task
     met = asked.join(F.broadcast(spans), ["__zone", "__year"], "left")
     met = met.withColumn("__hits", F.filter("__spans", lambda s: (s["lo"] <= F.col("__local")) & (F.col("__local") < s["hi"])))
-    utc = F.col("__local") - F.coalesce(p("off"), F.try_element_at("__hits", F.lit(1))["off"])
+    utc = F.col("__local") - F.coalesce(p("off"), F.try_element_at("__hits", F.lit(1))["off"], F.lit(0))
     in_day = F.pmod(utc, F.lit(86400))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(utc / 86400).cast("int")).cast("string")
     stamp = F.format_string("%sT%02d:%02d:%02d.%06dZ", day, F.floor(in_day / 3600), F.floor(in_day % 3600 / 60), in_day % 60, p("us"))
