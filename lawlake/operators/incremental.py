@@ -18,8 +18,9 @@ last_modified values too; no successful run, or an empty table, gives no rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -122,19 +123,37 @@ class Manifest:
         unchanged = (F.col("l.fetch_id") == F.col("m.fetch_id")) | same_content
         fresh = l.join(known, (F.col("l.source_url") == F.col("m.source_url")) & unchanged, "left_anti")
         fresh = fresh.select(F.lit(run_idx).alias("run_idx"), F.lit(batch_id).alias("run_id"), "source_url", "fetched_at", "fetch_id", "tag", "modified")
-        fresh.write.mode("overwrite").parquet(self.path(batch_id))
-        self.commit(batch_id)
+        self.write(batch_id, fresh)
 
-    def commit(self, batch_id: int) -> None:
-        """Record the batch with its files; the rename of the manifest is the moment of success."""
+    def write(self, batch_id: int, rows: DataFrame, inputs: list[dict] | None = None) -> None:
+        """Write a batch over what a failed attempt left of it, then commit it; its checksum is taken in passing."""
+        seen = Observation()
+        rows.observe(seen, *_checksum(rows)).write.mode("overwrite").parquet(self.path(batch_id))
+        self.commit(batch_id, seen.get, inputs)
+
+    def commit(self, batch_id: int, totals: dict, inputs: list[dict] | None = None) -> None:
+        """Record the batch with its files, their sizes and its checksum; the rename of the manifest is the moment of success."""
         files = session.list_files(self.spark, self.path(batch_id))
-        entry = {"batch_id": batch_id, "files": [{"name": n, "bytes": b} for n, b in files]}
+        entry = {"batch_id": batch_id, "files": [{"name": n, "bytes": b} for n, b in files], "rows": totals["rows"], "checksum": totals["checksum"], "inputs": inputs or []}
         batches = [b for b in self.committed() if b["batch_id"] != batch_id] + [entry]
         session.write_text(self.spark, f"{self.folder}/manifest.json", json.dumps({"batches": batches}))
 
     def damaged(self) -> list[int]:
-        """Committed batches whose files are no longer those recorded."""
-        return [b["batch_id"] for b in self.committed() if session.list_files(self.spark, self.path(b["batch_id"])) != [(f["name"], f["bytes"]) for f in b["files"]]]
+        """Committed batches whose files or contents are no longer those recorded."""
+        out = []
+        for b in self.committed():
+            if session.list_files(self.spark, self.path(b["batch_id"])) != [(f["name"], f["bytes"]) for f in b["files"]]:
+                out.append(b["batch_id"])
+            elif b["files"]:
+                rows = self.spark.read.parquet(self.path(b["batch_id"]))
+                if rows.agg(*_checksum(rows)).head().asDict() != {"rows": b["rows"], "checksum": b["checksum"]}:
+                    out.append(b["batch_id"])
+        return out
+
+
+def _checksum(rows: DataFrame) -> list[Column]:
+    """The number of rows and an order-free checksum of them."""
+    return [F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0)).alias("checksum")]
 
 
 def replay(spark: SparkSession, fetches: DataFrame, runs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -153,10 +172,21 @@ def replay(spark: SparkSession, fetches: DataFrame, runs: DataFrame, folder: str
     return manifest.entries().select("run_id", "fetch_id")
 
 
-def new_files(spark: SparkSession, folder: str, manifest: Manifest) -> list[tuple[str, int]]:
-    """Data files of a folder that no committed batch names with the same size (file-level listing)."""
-    known = {(f["name"], f["bytes"]) for b in manifest.committed() for f in b.get("inputs", [])}
-    return [x for x in session.list_files(spark, folder) if x not in known]
+def new_files(spark: SparkSession, folder: str, manifest: Manifest) -> DataFrame:
+    """``(path, bytes, md5)`` of the data files of a folder that no committed batch took with this size and checksum (files under 2 GB)."""
+    known = [(f["bytes"], f["md5"]) for b in manifest.committed() for f in b["inputs"]]
+    files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    return files.join(spark.createDataFrame(known, "bytes bigint, md5 string"), ["bytes", "md5"], "left_anti").select("path", "bytes", "md5")
+
+
+def run_files(spark: SparkSession, manifest: Manifest, batch_id: int, folder: str, process: Callable[[DataFrame], DataFrame]) -> int:
+    """Process the new or changed parquet files of a folder as one batch; returns how many there were."""
+    if any(b["batch_id"] == batch_id for b in manifest.committed()):
+        return 0
+    fresh = [r.asDict() for r in new_files(spark, folder, manifest).orderBy("path").toLocalIterator()]
+    if fresh:
+        manifest.write(batch_id, process(spark.read.parquet(*[f["path"] for f in fresh])), fresh)
+    return len(fresh)
 
 
 def found(spark: SparkSession, fetches: DataFrame, runs: DataFrame) -> DataFrame:

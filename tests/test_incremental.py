@@ -99,6 +99,19 @@ def test_failure_before_commit_is_repeated_and_after_it_skipped(spark, monkeypat
     assert sorted((r.run_id, r.fetch_id) for r in m.entries().collect()) == [(7, 1), (7, 2)]
     assert m.damaged() == []
     assert [b["batch_id"] for b in m.committed()] == [7, 8]
+    rows.limit(1).write.mode("overwrite").parquet(m.path(7))
+    assert m.damaged() == [7]
+
+
+def test_files_are_taken_once_and_again_when_changed(spark, tmp_path):
+    m = i.Manifest(spark, session.shared_dir(spark, "files"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "in"))
+    double = lambda df: df.select((i.F.col("id") * 2).alias("x"))
+    assert [i.run_files(spark, m, k, str(tmp_path / "in"), double) for k in (1, 1, 2)] == [1, 0, 0]
+    spark.range(10, 12).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert i.run_files(spark, m, 3, str(tmp_path / "in"), double) == 1
+    assert sorted(r.x for r in m.entries("x bigint").collect()) == [0, 2, 4, 20, 22]
+    assert m.damaged() == [] and sum(len(b["inputs"]) for b in m.committed()) == 2
 
 
 def test_empty_tables(spark):
