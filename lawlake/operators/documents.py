@@ -288,3 +288,18 @@ def table_rows(all_nodes: DataFrame) -> DataFrame:
     placed = joined.withColumn("row_no", F.dense_rank().over(W.partitionBy("version_id", "table_pos").orderBy("row_pos"))).withColumn("column_no", F.row_number().over(by_row))
     heads = placed.where("tag = 'th'").groupBy("version_id", "table_pos", "column_no").agg(F.min_by("text", "row_no").alias("label"))
     return placed.where("tag = 'td'").join(heads, ["version_id", "table_pos", "column_no"], "left").select("version_id", "table_pos", "row_no", "column_no", "label", "text")
+
+
+def marked_scope(units: DataFrame, marks: DataFrame) -> DataFrame:
+    """Units (version_id, akn_eid, ...) at or under a marked element (version_id, akn_eid), by their chain of ids."""
+    chain = units.select("version_id", "akn_eid", F.explode(eids.ancestors(F.col("akn_eid"))).alias("__a"))
+    hit = chain.join(marks.select("version_id", F.col("akn_eid").alias("__a")).distinct(), ["version_id", "__a"], "left_semi")
+    return units.join(hit.select("version_id", "akn_eid").distinct(), ["version_id", "akn_eid"], "left_semi")
+
+
+def paths(units: DataFrame) -> DataFrame:
+    """``(version_id, akn_eid, path)``: the ids of the stored units that enclose each unit, root first, itself last."""
+    chain = units.select("version_id", "akn_eid", F.posexplode(eids.ancestors(F.col("akn_eid"))).alias("d", "a"))
+    stored = units.select("version_id", F.col("akn_eid").alias("a")).distinct()
+    met = chain.distinct().join(stored, ["version_id", "a"]).groupBy("version_id", "akn_eid").agg(F.sort_array(F.collect_list(F.struct("d", "a"))).alias("p"))
+    return met.select("version_id", "akn_eid", F.transform("p", lambda x: x["a"]).alias("path"))

@@ -69,3 +69,25 @@ def outermost(eid: Column) -> Column:
 def under_eid(eid: Column, unit: str) -> Column:
     """The unit itself or anything below it (``art_5`` doesn't hold ``art_50``)."""
     return (eid == unit) | eid.startswith(f"{unit}__")
+
+
+def payload(column: str, key: str) -> Column:
+    """A field of a JSON payload as text; null where it is absent or the payload isn't JSON."""
+    return F.get_json_object(column, f"$.{key}")
+
+
+def actionable(column: str, absent_counts: bool = False) -> Column:
+    """Findings whose payload doesn't say ``actionable: false``; absent says nothing unless it counts."""
+    said = payload(column, "actionable")
+    return F.coalesce(said, F.lit("true")) != "false" if absent_counts else F.coalesce(said != "false", F.lit(False))
+
+
+def json_slice(column: str, start: int, length: int) -> Column:
+    """A window of a JSON array, its elements as JSON text."""
+    parsed = F.from_json(column, "array<string>")
+    return F.slice(parsed, start + 1, length)
+
+
+def by_payload(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """``(value, n)``: rows per value of a payload field, most frequent first."""
+    return rows.groupBy(payload(column, key).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")

@@ -21,10 +21,18 @@ def law_edges(effects: DataFrame, versions: DataFrame, laws: DataFrame) -> DataF
     return rows.join(of, "version_id").select("effect_id", "src", "dst", "akn_category", "akn_action")
 
 
-def walk(edges: DataFrame, start: DataFrame, depth: int = 3, once: bool = False) -> DataFrame:
-    """``(node, near, depth)``: what is reached from the start nodes (column ``node``) along edges (src, dst), hop by hop."""
+def walk(edges: DataFrame, start: DataFrame, depth: int = 3, once: bool = False, inbound: bool = False, classes: list[str] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """``(node, near, depth)``: what is reached from the start nodes (column ``node``) along edges (src, dst), hop by hop.
+
+    ``classes`` keeps edges of these classes (column akn_category) at every hop, ``allowed`` (column node) the
+    nodes that may be entered; an empty list or table matches nothing.
+    """
     depth = max(1, min(10, depth))
-    hops = edges.select("src", "dst").distinct()
+    if classes is not None:
+        edges = edges.where(F.col("akn_category").isin(classes) if classes else F.lit(False))
+    hops = edges.select(F.col("dst" if inbound else "src").alias("src"), F.col("src" if inbound else "dst").alias("dst")).distinct()
+    if allowed is not None:
+        hops = hops.join(allowed.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
     front = start.select(F.col("node"), F.array("node").alias("path")).distinct()
     found = None
     for d in range(1, depth + 1):

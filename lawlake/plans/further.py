@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lawlake.functions import texts
-from lawlake.operators import bluebell, classify, compare, documents, graph, resolution, search, stores, translation, versioned
+from lawlake.operators import bluebell, classify, compare, documents, findings, graph, resolution, search, stores, translation, versioned
 from lawlake.operators.orphans import work_uri
 from lawlake.plans.reference import _EBASE, _EDGES, SQL_TOKENS, _edges, once, sql
 from lawlake.session import read
@@ -143,3 +143,31 @@ def derived_unit_changes(spark, d):
     target = v.join(u.withColumnRenamed("version_id", "id"), "id").select("id", "akn_wid", "text")
     found = translation.audit(source, target, ["id", "akn_wid"])
     return found.where("check_name IN ('unit_missing', 'unit_added')").groupBy("check_name").agg(F.count("*").alias("n"))
+
+
+@sql("SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1")
+def events_by_payload(spark, d):
+    """Events per value of a payload field."""
+    return findings.by_payload(read(spark, d, "events"), "props", "k")
+
+
+@sql("+ m AS (SELECT DISTINCT version_id, akn_eid FROM provisions WHERE excluded_from_pool) SELECT DISTINCT p.version_id, p.akn_eid FROM provisions p JOIN m ON m.version_id = p.version_id AND (p.akn_eid = m.akn_eid OR starts_with(p.akn_eid, m.akn_eid || '__'))", "provisions")
+def marked_scope(spark, d):
+    """Units at or under an excluded one."""
+    u = read(spark, d, "provisions").select("version_id", "akn_eid", "excluded_from_pool").distinct()
+    return documents.marked_scope(u.select("version_id", "akn_eid").distinct(), u.where("excluded_from_pool"))
+
+
+@sql("+ u AS (SELECT DISTINCT version_id, akn_eid FROM provisions) SELECT a.version_id, a.akn_eid, list(b.akn_eid ORDER BY length(b.akn_eid)) AS path FROM u a JOIN u b ON b.version_id = a.version_id AND (a.akn_eid = b.akn_eid OR starts_with(a.akn_eid, b.akn_eid || '__')) GROUP BY a.version_id, a.akn_eid", "provisions")
+def provision_paths(spark, d):
+    """The enclosing stored units of every provision, root first."""
+    return documents.paths(read(spark, d, "provisions").select("version_id", "akn_eid").distinct())
+
+
+@sql(f"{_EDGES}, t AS (SELECT * FROM e WHERE akn_category = 'textual' AND src LIKE '/akn/xd/%'), s AS (SELECT min(dst) AS n FROM t) SELECT DISTINCT src AS node, dst AS near, 1 AS depth FROM t, s WHERE dst = n", *_EBASE)
+def inbound_walk(spark, d):
+    """Works of one jurisdiction that change the words of the first work so changed."""
+    e = _edges(spark, d)
+    own = e.where(F.col("src").startswith("/akn/xd/"))
+    start = own.where("akn_category = 'textual'").agg(F.min("dst").alias("node"))
+    return graph.walk(e, start, 1, inbound=True, classes=["textual"], allowed=own.select(F.col("src").alias("node")))

@@ -54,6 +54,11 @@ def test_walk_by_paths_closes_cycles_once(spark):
     got = sorted((r.depth, r.near, r.node) for r in graph.walk(e, start, 5).collect())
     assert got == [(1, "a", "b"), (1, "a", "d"), (2, "b", "c"), (2, "b", "d"), (2, "d", "x"), (3, "c", "a"), (3, "d", "x")]
     assert {(r.node, r.depth) for r in graph.walk(e, start, 5, once=True).collect()} == {("b", 1), ("d", 1), ("c", 2), ("x", 2), ("a", 3)}
+    c = e.withColumn("akn_category", F.when(F.col("dst") == "d", "textual").otherwise("force"))
+    assert [r.node for r in graph.walk(c, start, 3, classes=["textual"]).collect()] == ["d"] and graph.walk(c, start, 3, classes=[]).count() == 0
+    back = graph.walk(e, spark.createDataFrame([("d",)], "node string"), 1, inbound=True)
+    assert {r.node for r in back.collect()} == {"a", "b"}
+    assert {r.node for r in graph.walk(e, start, 3, allowed=spark.createDataFrame([("b",), ("c",)], "node string")).collect()} == {"b", "c"}
     assert graph.walk(e, start, 0).count() == 2 and graph.walk(e.limit(0), start, 3).count() == 0
 
 
@@ -124,3 +129,11 @@ def test_lineage_is_bounded(spark):
     v = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent_version_id string")
     got = {(r.id, r.ancestor_id, r.depth) for r in versioned.lineage(v, most=5).collect()}
     assert {("c", "c", 0), ("c", "b", 1), ("c", "a", 2), ("z", "gone", 1)} <= got and max(d for i, _, d in got if i == "x") == 5
+
+
+def test_payloads(spark):
+    df = spark.createDataFrame([('{"actionable": false, "k": [1, {"a": 2}, 3]}',), ('{"actionable": true}',), ("{}",), (None,), ("broken",)], "p string")
+    r = df.select(findings.actionable("p").alias("a"), findings.actionable("p", True).alias("b")).collect()
+    assert [x.a for x in r] == [False, True, False, False, False] and [x.b for x in r] == [False, True, True, True, True]
+    s = spark.createDataFrame([('[1, {"a": 2}, "x"]',), (None,)], "j string").select(findings.json_slice("j", 1, 5).alias("s")).collect()
+    assert s[0].s == ['{"a":2}', "x"] and s[1].s is None
