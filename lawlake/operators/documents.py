@@ -239,10 +239,19 @@ def anchor_mismatch(all_nodes: DataFrame, anchored: DataFrame) -> DataFrame:
     return both.where("nodes <> anchors").withColumn("severity", F.when(F.col("nodes") < F.col("anchors"), "error").otherwise("warning"))
 
 
-def grade(findings: DataFrame, versions: DataFrame) -> DataFrame:
-    """``(version_id, grade)``: blocking with an error, warning with one, clean else."""
+def grade(findings: DataFrame, versions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """``(version_id, grade)``: ungraded if the checks couldn't run, blocking with an error, warning with one, clean else.
+
+    ``verdicts`` are those of ``parse_verdicts``: only a version whose XML parses there has been checked. Without
+    them every version counts as checked, so a version that may lack a tree must come with them.
+    """
     per = findings.groupBy("version_id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warning").alias("w"))
-    return versions.join(per, "version_id", "left").select("version_id", F.when(F.col("e") > 0, "blocking").when(F.col("w") > 0, "warning").otherwise("clean").alias("grade"))
+    rows, checked = versions.join(per, "version_id", "left"), F.lit(True)
+    if verdicts is not None:
+        parsed = verdicts.where("check_name = 'akn_parseable'").groupBy("version_id").agg(F.bool_and(~F.col("failed")).alias("__parsed"))
+        rows, checked = rows.join(parsed, "version_id", "left"), F.coalesce("__parsed", F.lit(False))
+    worst = F.when(~checked, "ungraded").when(F.col("e") > 0, "blocking").when(F.col("w") > 0, "warning").otherwise("clean")
+    return rows.select("version_id", worst.alias("grade"))
 
 
 def rebuild(rows: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def structural_scan_rates(spark, d):
 
 @sql("")
 def structural_grades(spark, d):
-    return documents.grade(documents.validate(_nodes(spark, d)), once(spark, d, "versions").select(F.col("id").alias("version_id")))
+    """Every version's grade; what has no XML that parses is ungraded."""
+    v = once(spark, d, "versions")
+    return documents.grade(documents.validate(_nodes(spark, d)), v.select(F.col("id").alias("version_id")), documents.parse_verdicts(v))
 
 
 @sql("")

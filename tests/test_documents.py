@@ -24,6 +24,14 @@ def test_nodes_checks_and_tables(spark):
     assert grades == {"v1": "blocking", "v2": "clean", "v3": "clean"}
 
 
+def test_versions_that_were_not_checked_are_ungraded(spark):
+    fine = "<act><body><section eId='sec_1'><num>1.</num><heading>A</heading><content><p>words</p></content></section></body></act>"
+    v = spark.createDataFrame([("v1", XML), ("v2", "<act>"), ("v3", None), ("v4", "  "), ("v5", fine)], "id string, akn_xml string")
+    ids = v.selectExpr("id AS version_id")
+    grades = {r.version_id: r.grade for r in documents.grade(documents.validate(documents.nodes(v)), ids, documents.parse_verdicts(v)).collect()}
+    assert grades == {"v1": "blocking", "v2": "ungraded", "v3": "ungraded", "v4": "ungraded", "v5": "clean"}
+
+
 def test_grid_with_spans():
     rows = [[{"text": "a", "colspan": 2}, {"text": "b", "rowspan": 2}], [{"text": "c"}, {"text": "d"}]]
     assert documents.resolve_grid(rows) == [["a", "a", "b"], ["c", "d", "b"]]
