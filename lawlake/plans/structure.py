@@ -202,14 +202,10 @@ def windowed_counts(spark, d):
 
 @sql("")
 def stream_counts(spark, d):
-    """The events table drained as a stream into daily counts (append mode with a watermark, then read back)."""
-    out, checkpoint = session.shared_dir(spark, "stream"), session.shared_dir(spark, "stream-checkpoint")
+    """The events table drained as a stream into daily counts (complete mode, the last state read back)."""
     folder = session.shared_dir(spark, "stream-in")
     read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
-    rows = events.windowed_counts(events.stream(spark, folder))
-    query = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return events.drained_counts(spark, folder, session.shared_dir(spark, "stream"), session.shared_dir(spark, "stream-checkpoint"))
 
 
 @sql("+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) SELECT o.o_orderkey FROM o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")

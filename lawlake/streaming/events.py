@@ -1,7 +1,8 @@
 """Structured Streaming over event logs and incoming documents (event time is an extra beside the batch operators).
 
-Defined results: events later than the watermark are dropped; a batch that is delivered again is written
-once, as its folder is named by the batch id; null timestamps are never in a window.
+Defined results: events later than the watermark are dropped in append mode, never in complete mode (``drained_counts``);
+a batch that is delivered again is written once, as its folder is named by the batch id or written over; null timestamps
+are never in a window.
 """
 
 from __future__ import annotations
@@ -36,12 +37,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("began"), F.col("w.end").cast("timestamp_ntz").alias("ended"), "n")
 
 
-def drain(spark: SparkSession, rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def drain(spark: SparkSession, rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there once; progress survives in the checkpoint."""
-    query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def drained_counts(spark: SparkSession, folder: str, out: str, checkpoint: str, per_trigger: int = 100) -> DataFrame:
+    """The windowed counts of all files of a folder, drained in any number of micro-batches and any order of events.
+
+    In complete mode each micro-batch hands on the counts of all windows so far, open ones too, and no event is too late;
+    the last batch's are the result. State and result are one row per window and type.
+    """
+    rows = windowed_counts(stream(spark, folder, per_trigger=per_trigger))
+    drain(spark, rows, lambda batch, _: batch.write.mode("overwrite").parquet(out), checkpoint, "complete")
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 def tokenising_sink(folder: str, id_col: str, text_col: str) -> Callable[[DataFrame, int], None]:
     """A sink that tokenises each micro-batch into the folder of its batch id (delivered again: overwritten)."""
 

@@ -2,6 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from lawlake.plans import structure
 from lawlake.sources import lanes
 from lawlake.streaming import events
 
@@ -59,3 +60,16 @@ def test_stream_equals_batch_and_is_written_once(spark, tmp_path):
         events.drain(spark, spark.readStream.schema("id bigint, text string").parquet(str(tmp_path / "docs")), sink, str(tmp_path / "cp"))
     sink(texts, 0)  # delivered again
     assert sorted((r.id, list(r.tokens)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, ["ferry", "act"]), (2, [])]
+
+
+def test_drained_counts_have_open_windows_and_late_events(spark, tmp_path):
+    rows = [(i, f"2024-01-{9 - i // 6:02d} {23 - i % 6}:30:00" if i else None, i, "ab"[i % 2], 0.25 * i, "{}") for i in range(48)]
+    df = spark.createDataFrame(rows, "event_id bigint, t string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    df = df.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    batch = sorted(map(tuple, structure.windowed_counts(spark, str(tmp_path)).collect()))
+    assert sum(r[2] for r in batch) == 47 and sorted(map(tuple, structure.stream_counts(spark, str(tmp_path)).collect())) == batch
+    for i in range(8):  # one file a micro-batch, the latest day first
+        df.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("event_id").between(6 * i, 6 * i + 5)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = events.drained_counts(spark, str(tmp_path / "in"), str(tmp_path / "counts"), str(tmp_path / "counts-cp"), per_trigger=1)
+    assert sorted(map(tuple, got.collect())) == batch
