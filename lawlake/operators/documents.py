@@ -112,7 +112,7 @@ def parse_verdicts(versions: DataFrame, id_col: str = "id", xml_col: str = "akn_
 
 
 def structural_scan(versions: DataFrame, id_col: str = "id", xml_col: str = "akn_xml") -> DataFrame:
-    """``(version_id, check_name, failed)``: every structural check with three outcomes."""
+    """``(version_id, check_name, failed)``: the structural checks of single documents with three outcomes."""
     own = nodes(versions, id_col, xml_col).where(F.col("tag").isin(*UNITS) & ~F.col("quoted"))
     all_ids = versions.select(F.col(id_col).alias("version_id"))
     per = own.groupBy("version_id").agg(F.count_if(F.col("tag").isin("section", "article")).alias("basic"), F.count("eid").alias("n"), F.count_distinct("eid").alias("d"))
@@ -122,14 +122,17 @@ def structural_scan(versions: DataFrame, id_col: str = "id", xml_col: str = "akn
     broken = (F.col("k") <= F.col("prev")) | (F.col("k.dup") > 0)
     basic = F.col("tag").isin("section", "article")
     order = steps.groupBy("version_id").agg(F.max(F.when(basic, broken)).alias("basic_broken"), F.max(F.when(~basic, broken)).alias("child_broken"))
-    wide = all_ids.join(per, "version_id", "left").join(order, "version_id", "left")
+    # a document that parses and has no unit has none, which is a failure; one that doesn't parse wasn't run
+    verdicts = parse_verdicts(versions, id_col, xml_col)
+    parsed = verdicts.where("NOT failed").select("version_id", F.lit(0).alias("none")).dropDuplicates()
+    wide = all_ids.join(per, "version_id", "left").join(order, "version_id", "left").join(parsed, "version_id", "left")
     checks = F.array(
-        F.struct(F.lit("body_units_present").alias("check_name"), (F.col("basic") == 0).alias("failed")),
+        F.struct(F.lit("body_units_present").alias("check_name"), (F.coalesce("basic", "none") == 0).alias("failed")),
         F.struct(F.lit("eid_unique").alias("check_name"), F.when(F.col("n") > 0, F.col("n") > F.col("d")).alias("failed")),
         F.struct(F.lit("numbering_monotonic_basic_unit").alias("check_name"), F.col("basic_broken").alias("failed")),
         F.struct(F.lit("numbering_monotonic_children").alias("check_name"), F.col("child_broken").alias("failed")),
     )
-    return wide.select("version_id", F.inline(checks)).unionByName(parse_verdicts(versions, id_col, xml_col)).dropDuplicates(["version_id", "check_name"])
+    return wide.select("version_id", F.inline(checks)).unionByName(verdicts).dropDuplicates(["version_id", "check_name"])
 
 
 # Patterns of texts that are no law, and parents that tags don't stand under.
@@ -142,7 +145,8 @@ BAD_PARENT = {"part": ["section", "article", "paragraph", "point"], "chapter": [
 def validate(all_nodes: DataFrame) -> DataFrame:
     """``(version_id, check_name, severity, eid)``: one row per defect found in a node table.
 
-    The table is read once per check, so it should be written, not the plan that parses the XML.
+    The table is read once per check, so it should be written, not the plan that parses the XML. Defects of what it
+    leaves out (prose of the body, terms, formulas, sums in words) come from ``xml_checks``.
     """
     units = all_nodes.where(F.col("tag").isin(*UNITS) & ~F.col("quoted"))
     w = W.partitionBy("version_id", "parent_pos", "tag").orderBy("pos")

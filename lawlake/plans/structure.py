@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lawlake import session
 from lawlake.functions import eids, texts, uris
-from lawlake.operators import anchors, documents, findings, quality, resolution, search, stores, versioned
+from lawlake.operators import anchors, documents, findings, quality, resolution, search, stores, versioned, xml_checks
 from lawlake.plans.reference import SQL_URI, once, sql
 from lawlake.session import read
 from lawlake.sources import lanes
@@ -27,22 +27,31 @@ def provision_rows(spark, d):
     return documents.nodes(once(spark, d, "versions"))
 
 
+def _checked(spark, d):
+    """Outcomes of the checks on whole documents, made once and written to the shared folder."""
+    folder = session.shared_dir(spark, "checked")
+    xml_checks.checked(once(spark, d, "versions")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 @sql("")
 def validator_findings(spark, d):
-    return documents.validate(_nodes(spark, d))
+    return documents.validate(_nodes(spark, d)).unionByName(xml_checks.found(xml_checks.checked(once(spark, d, "versions"))))
 
 
 @sql("")
 def structural_scan_rates(spark, d):
     """Structural checks of all versions as rates per check."""
-    return findings.rates(documents.structural_scan(once(spark, d, "versions")), ["check_name"])
+    v = once(spark, d, "versions")
+    return findings.rates(documents.structural_scan(v).unionByName(xml_checks.translations_preserved(v)), ["check_name"])
 
 
 @sql("")
 def structural_grades(spark, d):
     """Every version's grade; what has no XML that parses is ungraded."""
-    v = once(spark, d, "versions")
-    return documents.grade(documents.validate(_nodes(spark, d)), v.select(F.col("id").alias("version_id")), documents.parse_verdicts(v))
+    checked = _checked(spark, d)
+    rows = documents.validate(_nodes(spark, d)).unionByName(xml_checks.found(checked))
+    return documents.grade(rows, checked.select("version_id"), xml_checks.verdicts(checked))
 
 
 @sql("")
