@@ -135,9 +135,17 @@ def latest_by_url(spark, d):
 
 @sql("SELECT fetch_id, min(landed_at) AS landed_at FROM acquired_documents GROUP BY fetch_id")
 def idempotent_acquisitions(spark, d):
-    """Acquisitions recorded once however often they landed: the first landing is kept, later ones are no-ops."""
-    a = read(spark, d, "acquired_documents").groupBy("fetch_id").agg(F.min("landed_at").alias("landed_at"))
-    return stores.insert_new(a, read(spark, d, "acquired_documents").select("fetch_id", "landed_at"), ["fetch_id"])
+    """Acquisitions recorded once however often they landed: the first landing is kept, later ones are no-ops.
+
+    What landed up to the middle of the log is stored, the rest comes as new rows, known fetches among it and unknown ones.
+    """
+    a = read(spark, d, "acquired_documents").select("fetch_id", "landed_at")
+    cutoff = a.agg(F.min("landed_at").alias("lo"), F.max("landed_at").alias("hi")).select((F.col("lo") + (F.col("hi") - F.col("lo")) / 2).alias("cutoff"))
+    rows = a.join(F.broadcast(cutoff), how="cross")
+    # a null landing is never up to the cutoff; of several landings the first holds, on either side
+    first = lambda side: rows.where(side).groupBy("fetch_id").agg(F.min("landed_at").alias("landed_at"))
+    stored = F.coalesce(F.col("landed_at") <= F.col("cutoff"), F.lit(False))
+    return stores.insert_new(first(stored), first(~stored), ["fetch_id"])
 
 
 @sql("SELECT publisher_effect_id, revision, akn_action FROM (SELECT *, row_number() OVER (PARTITION BY publisher_effect_id ORDER BY revision DESC, feed_seq DESC) AS rn FROM effect_feed) WHERE rn = 1")

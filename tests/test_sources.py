@@ -2,6 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from lawlake.operators import stores
 from lawlake.plans import structure
 from lawlake.sources import lanes
 from lawlake.streaming import events
@@ -73,3 +74,15 @@ def test_drained_counts_have_open_windows_and_late_events(spark, tmp_path):
         df.withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("event_id").between(6 * i, 6 * i + 5)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = events.drained_counts(spark, str(tmp_path / "in"), str(tmp_path / "counts"), str(tmp_path / "counts-cp"), per_trigger=1)
     assert sorted(map(tuple, got.collect())) == batch
+
+
+def test_acquisitions_are_inserted_beside_stored_ones(spark, tmp_path, monkeypatch):
+    rows = [("a", "2024-01-01"), ("a", "2024-01-09"), ("b", "2024-01-02"), ("c", "2024-01-09"), ("c", "2024-01-08"), ("d", None)]
+    df = spark.createDataFrame(rows, "fetch_id string, t string").select("fetch_id", F.col("t").cast("timestamp_ntz").alias("landed_at"))
+    df.write.parquet(str(tmp_path / "acquired_documents.parquet"))
+    seen, insert = [], stores.insert_new
+    monkeypatch.setattr(stores, "insert_new", lambda stored, new, keys: (seen.append((stored, new)), insert(stored, new, keys))[1])
+    got = {r.fetch_id: str(r.landed_at)[:10] for r in structure.idempotent_acquisitions(spark, str(tmp_path)).collect()}
+    assert got == {"a": "2024-01-01", "b": "2024-01-02", "c": "2024-01-08", "d": "None"}
+    keys = [{r.fetch_id for r in x.collect()} for x in seen[0]]
+    assert keys == [{"a", "b"}, {"a", "c", "d"}]
