@@ -1,18 +1,20 @@
-"""Processing only new or changed records, with a manifest.
+"""Processing only new or changed records, with a manifest of input files.
 
-The manifest names what earlier successful runs processed: per source its fetch and its validators (the
-checksum a server gives for the content), per batch the files written with their sizes and a checksum. A
-run lists what is there at its cutoff, anti-joins the listing against the manifest, writes the remainder
-to the folder of its batch identifier (overwriting what a failed attempt left) and then commits the
-manifest with one rename. A crash before the commit leaves the manifest as it was, so the run is repeated
-whole; a crash after it leaves nothing to do; a repeated run id is a no-op.
+The manifest names the input files that committed batches took, with size and checksum. A batch lists the
+files there are, anti-joins the listing against the manifest, reads the rest, writes its result to the folder
+of its batch identifier (overwriting what a failed attempt left) and then commits by creating one new file.
+A crash before the commit leaves the manifest as it was, so the batch is repeated whole; a crash after it
+leaves nothing to do; a repeated identifier is a no-op. Nothing committed is ever replaced or deleted.
 
-Manifest entries are append-only: the entries of a batch are its rows, the newest batch of a source holds.
-A run reads only those of the sources it lists.
+For fetches of sources (``catch_up``) the result of a batch is also the state the next one starts from: one row
+per source with its current fetch and its latest case. A batch reads that state and the new files, never
+the history, and any number of due runs is one batch: the cost doesn't grow with the number of runs.
 
 Defined results: rows without source, fetch id, fetched_at or landed_at cannot be listed and are ignored;
 fetches that land again keep their first arrival; blank validators count as absent, unreadable
-last_modified values too; no successful run, or an empty table, gives no rows.
+last_modified values too; no successful run, or an empty table, gives no rows; a due run earlier than
+the last committed one is refused; a record that comes in a file later than its landed_at is taken by the
+next run.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lawlake import session
 
-ENTRY = "run_idx int, run_id int, source_url string, fetched_at timestamp_ntz, fetch_id bigint, tag string, modified bigint"
+FETCH = "struct<fetched_at:timestamp_ntz,fetch_id:bigint,tag:string,modified:bigint>"
+CASES = "array<struct<run_id:int,fetch_id:bigint>>"
+STATE = f"source_url string, current {FETCH}, last {FETCH}, cases {CASES}"
+INPUT = "path string, bytes bigint, changed timestamp_ntz, rows bigint, checksum bigint, complete boolean"
+LANDING = "fetch_id bigint, source_url string, fetched_at timestamp_ntz, landed_at timestamp_ntz, etag string, last_modified string"
+USED = ["fetch_id", "source_url", "fetched_at", "landed_at", "etag", "last_modified"]
 
 
 def entity_tag(c: Column) -> Column:
@@ -41,9 +47,8 @@ def instant(c: Column) -> Column:
     v = F.trim(c)
     iso = F.regexp_extract(v, r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d:\d\d)(?:\.\d+)?(Z|[+-]\d\d:?\d\d)$", 0)
     http = r"^(?:[A-Za-z]{3,9}, +)?(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{4}) (\d\d):(\d\d):(\d\d) (GMT|UTC|[+-]\d{4})$"
-    month = F.lit(0)
-    for i, name in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1):
-        month = F.when(F.lower(F.regexp_extract(v, http, 2)) == name, i).otherwise(month)
+    names = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
+    month = ((F.instr(names, F.lower(F.regexp_extract(v, http, 2))) + 2) / 3).cast("int")
     text = F.format_string("%s-%02d-%s %s:%s:%s", F.regexp_extract(v, http, 3), month, F.lpad(F.regexp_extract(v, http, 1), 2, "0"), F.regexp_extract(v, http, 4), F.regexp_extract(v, http, 5), F.regexp_extract(v, http, 6))
 
     def seconds(local: Column) -> Column:
@@ -70,73 +75,84 @@ def successful_runs(runs: DataFrame) -> list[tuple[int, object]]:
     return sorted(((r.run_id, r.cutoff_at) for r in rows), key=lambda r: (r[1], r[0]))
 
 
-def listings(fetches: DataFrame, cutoffs: list) -> DataFrame:
-    """Per run (numbered by cutoff) the sources whose current fetch is another than at the run before.
+class Manifest:
+    """The committed batches of a pipeline in a folder.
 
-    Rows are reduced to one per source and run before they are ordered, so a source with a third of all
-    fetches leaves a task as at most one row per run.
+    ``batches/batch_id=N`` holds the rows of a batch, ``inputs/batch_id=N`` the input files it took with size,
+    time of change and checksum, ``commits/<number>.json`` says that batch N is done. Commits are only ever
+    created, never replaced or deleted; one that was cut off while being written doesn't count.
     """
-    at = F.array(*[F.lit(c).cast("timestamp_ntz") for c in cutoffs])
-    idx = F.size(F.filter(at, lambda c: c < F.col("landed_at").cast("timestamp_ntz")))
-    seen = fetches.where("source_url IS NOT NULL AND fetch_id IS NOT NULL AND fetched_at IS NOT NULL AND landed_at IS NOT NULL")
-    seen = seen.select(
-        idx.alias("run_idx"), "source_url",
-        F.struct(F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "fetch_id", entity_tag(F.col("etag")).alias("tag"), instant(F.col("last_modified")).alias("modified")).alias("f"),
-    ).where(F.col("run_idx") < len(cutoffs))
-    newest = seen.groupBy("source_url", "run_idx").agg(F.max("f").alias("f"))
-    before = W.partitionBy("source_url").orderBy("run_idx").rowsBetween(W.unboundedPreceding, -1)
-    moved = newest.withColumn("was", F.max("f").over(before)).where("was IS NULL OR struct(f.fetched_at, f.fetch_id) > struct(was.fetched_at, was.fetch_id)")
-    return moved.select("run_idx", "source_url", "f.*")
-
-
-class Manifest:
-    """The committed batches of a pipeline in a folder: ``batches/batch_id=N`` and ``manifest.json``."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, dict] = {}
 
     def committed(self) -> list[dict]:
-        text = session.read_text(self.spark, f"{self.folder}/manifest.json")
-        return json.loads(text)["batches"] if text else []
-
-    def path(self, batch_id: int) -> str:
-        return f"{self.folder}/batches/batch_id={batch_id}"
-
-    def entries(self, schema: str | T.StructType = ENTRY) -> DataFrame:
+        """The complete commits in order; each is read once."""
+        for name, _ in session.list_files(self.spark, f"{self.folder}/commits"):
+            if name not in self._read:
+                try:
+                    self._read[name] = json.loads(session.read_text(self.spark, f"{self.folder}/commits/{name}") or "")
+                except Exception as cut_off:  # a commit that never ended: no JSON, or bytes that miss their checksum
+                    if "Checksum" not in str(cut_off) and not isinstance(cut_off, ValueError):
+                        raise
+        return [self._read[name] for name in sorted(self._read)]
+
+    def has(self, batch_id: int) -> bool:
+        return any(b["batch_id"] == batch_id for b in self.committed())
+
+    def path(self, batch_id: int, kind: str = "batches") -> str:
+        return f"{self.folder}/{kind}/batch_id={batch_id}"
+
+    def entries(self, schema: str | T.StructType) -> DataFrame:
         """All rows of the committed batches; what a failed attempt wrote isn't among them."""
-        paths = [self.path(b["batch_id"]) for b in self.committed() if b["files"]]
+        return self._rows(schema, [self.path(b["batch_id"]) for b in self.committed() if b["files"]])
+
+    def _rows(self, schema: str | T.StructType, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def latest(self, of: DataFrame) -> DataFrame:
-        """The newest entry of each source in ``of``."""
-        mine = self.entries().join(of.select("source_url"), "source_url", "left_semi")
-        return mine.groupBy("source_url").agg(F.max(F.struct("run_idx", "fetch_id", "tag", "modified")).alias("m")).select("source_url", "m.fetch_id", "m.tag", "m.modified")
-
-    def run(self, batch_id: int, listing: DataFrame, run_idx: int) -> None:
-        """Process what is new or changed in the listing, once, whatever failed before."""
-        if any(b["batch_id"] == batch_id for b in self.committed()):
-            return
-        known, l = self.latest(listing).alias("m"), listing.alias("l")
-        both_tags = F.col("l.tag").isNotNull() & F.col("m.tag").isNotNull()
-        both_dates = F.col("l.modified").isNotNull() & F.col("m.modified").isNotNull()
-        same_content = F.when(both_tags, F.col("l.tag") == F.col("m.tag")).when(both_dates, F.col("l.modified") == F.col("m.modified")).otherwise(False)
-        unchanged = (F.col("l.fetch_id") == F.col("m.fetch_id")) | same_content
-        fresh = l.join(known, (F.col("l.source_url") == F.col("m.source_url")) & unchanged, "left_anti")
-        fresh = fresh.select(F.lit(run_idx).alias("run_idx"), F.lit(batch_id).alias("run_id"), "source_url", "fetched_at", "fetch_id", "tag", "modified")
-        self.write(batch_id, fresh)
-
-    def write(self, batch_id: int, rows: DataFrame, inputs: list[dict] | None = None) -> None:
+    def inputs(self) -> DataFrame:
+        """The input files of all committed batches."""
+        return self._rows(INPUT, [self.path(b["batch_id"], "inputs") for b in self.committed() if b["n_inputs"]])
+
+    def fresh(self, folder: str, columns: list[str] | None = None, verify: bool = False) -> DataFrame:
+        """The parquet files of a folder (or one file) that no committed batch took whole, as rows of ``INPUT``.
+
+        Files known by path, size and time of change aren't opened (all are with ``verify``); of the others the
+        checksum over ``columns`` is taken, and what was taken before with this size and checksum is left out,
+        whatever its name.
+        """
+        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+        listed = listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").cast("timestamp_ntz").alias("changed"))
+        known = self.inputs().where("complete")
+        unknown = listed if verify else listed.join(known, ["path", "bytes", "changed"], "left_anti")
+        at = {r.path: r.changed for r in unknown.collect()}  # new files only, as the reader lists them too
+        if not at:
+            return self.spark.createDataFrame([], INPUT)
+        rows = self.spark.read.parquet(*at)
+        sums = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(*_checksum(columns or rows.columns))
+        times = self.spark.createDataFrame(list(at.items()), "name string, changed timestamp_ntz")
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        taken = sums.join(F.broadcast(times), bare(F.col("path")) == bare(F.col("name"))).join(known, ["bytes", "checksum"], "left_anti")
+        return taken.select(F.col("name").alias("path"), "bytes", "changed", "rows", "checksum", F.lit(True).alias("complete"))
+
+    def write(self, batch_id: int, rows: DataFrame, inputs: DataFrame | None = None, **facts) -> None:
         """Write a batch over what a failed attempt left of it, then commit it; its checksum is taken in passing."""
         seen = Observation()
-        rows.observe(seen, *_checksum(rows)).write.mode("overwrite").parquet(self.path(batch_id))
-        self.commit(batch_id, seen.get, inputs)
-
-    def commit(self, batch_id: int, totals: dict, inputs: list[dict] | None = None) -> None:
-        """Record the batch with its files, their sizes and its checksum; the rename of the manifest is the moment of success."""
+        rows.observe(seen, *_checksum(rows.columns)).write.mode("overwrite").parquet(self.path(batch_id))
+        n_inputs = 0
+        if inputs is not None:
+            counted = Observation()
+            inputs.observe(counted, F.count("*").alias("n")).write.mode("overwrite").parquet(self.path(batch_id, "inputs"))
+            n_inputs = counted.get["n"]
+        self.commit(batch_id, {**seen.get, "n_inputs": n_inputs, **facts})
+
+    def commit(self, batch_id: int, facts: dict) -> None:
+        """Record the batch with its files, their sizes and its checksum; that this file is there whole is the success."""
         files = session.list_files(self.spark, self.path(batch_id))
-        entry = {"batch_id": batch_id, "files": [{"name": n, "bytes": b} for n, b in files], "rows": totals["rows"], "checksum": totals["checksum"], "inputs": inputs or []}
-        batches = [b for b in self.committed() if b["batch_id"] != batch_id] + [entry]
-        session.write_text(self.spark, f"{self.folder}/manifest.json", json.dumps({"batches": batches}))
+        entry = {"batch_id": batch_id, "files": [{"name": n, "bytes": b} for n, b in files], **facts}
+        used = [int(n.partition(".")[0]) for n, _ in session.list_files(self.spark, f"{self.folder}/commits")]
+        session.create_text(self.spark, f"{self.folder}/commits/{max(used, default=0) + 1:012d}.json", json.dumps(entry))
 
     def damaged(self) -> list[int]:
         """Committed batches whose files or contents are no longer those recorded."""
@@ -146,49 +162,102 @@ class Manifest:
                 out.append(b["batch_id"])
             elif b["files"]:
                 rows = self.spark.read.parquet(self.path(b["batch_id"]))
-                if rows.agg(*_checksum(rows)).head().asDict() != {"rows": b["rows"], "checksum": b["checksum"]}:
+                if rows.agg(*_checksum(rows.columns)).head().asDict() != {"rows": b["rows"], "checksum": b["checksum"]}:
                     out.append(b["batch_id"])
         return out
 
 
-def _checksum(rows: DataFrame) -> list[Column]:
+def _checksum(columns: list[str]) -> list[Column]:
     """The number of rows and an order-free checksum of them."""
-    return [F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0)).alias("checksum")]
+    return [F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("checksum")]
 
 
-def replay(spark: SparkSession, fetches: DataFrame, runs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Every successful run of the log in turn against one manifest; ``(run_id, fetch_id)`` of all batches."""
-    folder = folder or session.shared_dir(spark, "incremental")
-    done = successful_runs(runs)
-    if not done:
-        return spark.createDataFrame([], "run_id int, fetch_id bigint")
-    listings(fetches, [c for _, c in done]).write.mode("overwrite").partitionBy("run_idx").parquet(f"{folder}/listing")
-    shape = "source_url string, fetched_at timestamp_ntz, fetch_id bigint, tag string, modified bigint"
-    manifest = Manifest(spark, folder)
-    for i, (run_id, _) in enumerate(done):
-        part = f"{folder}/listing/run_idx={i}"
-        if session.exists(spark, part):
-            manifest.run(run_id, spark.read.schema(shape).parquet(part), i)
-    return manifest.entries().select("run_id", "fetch_id")
+def changed(landings: DataFrame, state: DataFrame, runs: list[tuple[int, object]]) -> DataFrame:
+    """One row per source, of ``STATE``: its current fetch, its latest case, and its cases at these runs.
 
-
-def new_files(spark: SparkSession, folder: str, manifest: Manifest) -> DataFrame:
-    """``(path, bytes, md5)`` of the data files of a folder that no committed batch took with this size and checksum (files under 2 GB)."""
-    known = [(f["bytes"], f["md5"]) for b in manifest.committed() for f in b["inputs"]]
-    files = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"), F.md5("content").alias("md5"))
-    return files.join(spark.createDataFrame(known, "bytes bigint, md5 string"), ["bytes", "md5"], "left_anti").select("path", "bytes", "md5")
-
-
-def run_files(spark: SparkSession, manifest: Manifest, batch_id: int, folder: str, process: Callable[[DataFrame], DataFrame]) -> int:
+    Landings are reduced to the newest per source and run before sources are brought together, so a source
+    with a third of all rows leaves a task as at most one row per run; then each source's few rows are
+    folded in order over what the state says of it.
+    """
+    at = F.array(*[F.lit(c).cast("timestamp_ntz") for _, c in runs])
+    idx = F.size(F.filter(at, lambda c: c < F.col("landed_at").cast("timestamp_ntz")))
+    seen = landings.where("source_url IS NOT NULL AND fetch_id IS NOT NULL AND fetched_at IS NOT NULL AND landed_at IS NOT NULL")
+    fetch = F.struct(F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), F.col("fetch_id").cast("bigint").alias("fetch_id"), entity_tag(F.col("etag")).alias("tag"), instant(F.col("last_modified")).alias("modified"))
+    seen = seen.select("source_url", idx.alias("run_idx"), fetch.alias("f")).where(F.col("run_idx") < len(runs))
+    newest = seen.groupBy("source_url", "run_idx").agg(F.max("f").alias("f"))
+    none = F.lit(None).cast(FETCH)
+    both = newest.select("source_url", F.struct("run_idx", "f").alias("e"), none.alias("current"), none.alias("last")).unionByName(
+        state.select("source_url", F.lit(None).cast(f"struct<run_idx:int,f:{FETCH}>").alias("e"), "current", "last")
+    )
+    per_source = both.groupBy("source_url").agg(F.sort_array(F.collect_list("e")).alias("es"), F.max("current").alias("current"), F.max("last").alias("last"))
+    run_ids = F.array(*[F.lit(r) for r, _ in runs])
+    no_cases = F.array().cast(CASES)
+
+    def step(acc: Column, e: Column) -> Column:
+        f, cur, last = e["f"], acc["current"], acc["last"]
+        moved = cur.isNull() | (F.struct(f["fetched_at"], f["fetch_id"]) > F.struct(cur["fetched_at"], cur["fetch_id"]))
+        tags = f["tag"].isNotNull() & last["tag"].isNotNull()
+        dates = f["modified"].isNotNull() & last["modified"].isNotNull()
+        other = F.when(tags, f["tag"] != last["tag"]).when(dates, f["modified"] != last["modified"]).otherwise(True)
+        case = moved & (last.isNull() | ((f["fetch_id"] != last["fetch_id"]) & other))
+        said = F.struct(F.element_at(run_ids, e["run_idx"] + 1).alias("run_id"), f["fetch_id"].alias("fetch_id"))
+        return F.struct(
+            F.when(moved, f).otherwise(cur).alias("current"), F.when(case, f).otherwise(last).alias("last"),
+            F.when(case, F.concat(acc["cases"], F.array(said))).otherwise(acc["cases"]).alias("cases"),
+        )
+
+    folded = per_source.select("source_url", F.aggregate("es", F.struct("current", "last", no_cases.alias("cases")), step).alias("x"))
+    return folded.select("source_url", "x.current", "x.last", "x.cases")
+
+
+def catch_up(manifest: Manifest, folder: str, runs: list[tuple[int, object]]) -> int:
+    """Take what the given successful runs must take, from the files the manifest doesn't know; returns how many runs were due.
+
+    Runs already committed are skipped. The due ones are one batch: its identifier is that of the last run,
+    its rows are the next state of all sources with their cases. A file with rows that land after the last
+    cutoff is recorded as incomplete and read again by the next batch; rows met again change nothing.
+    """
+    done = {r for b in manifest.committed() for r in b["runs"]}
+    due = sorted(((r, c) for r, c in runs if r not in done), key=lambda x: (x[1], x[0]))
+    if not due:
+        return 0
+    before = manifest.committed()
+    if before and due[0][1].isoformat() < before[-1]["cutoff"]:
+        raise ValueError(f"run {due[0][0]} is earlier than what is committed")
+    spark, (batch, cutoff) = manifest.spark, due[-1]
+    state = manifest._rows(STATE, [manifest.path(before[-1]["batch_id"])] if before else [])
+    pending = f"{manifest.folder}/pending/batch_id={batch}"
+    manifest.fresh(folder, USED).write.mode("overwrite").parquet(pending)
+    fresh = spark.read.schema(INPUT).parquet(pending)
+    paths = [r.path for r in fresh.select("path").collect()]
+    landings = spark.read.parquet(*paths) if paths else spark.createDataFrame([], LANDING)
+    later = landings.where(F.col("landed_at").cast("timestamp_ntz") > F.lit(cutoff).cast("timestamp_ntz"))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    open_files = later.select(bare(F.col("_metadata.file_path")).alias("p")).distinct() if paths else spark.createDataFrame([], "p string")
+    inputs = fresh.join(open_files, bare(fresh.path) == open_files.p, "left").select("path", "bytes", "changed", "rows", "checksum", F.col("p").isNull().alias("complete"))
+    manifest.write(batch, changed(landings, state, due), inputs, runs=[r for r, _ in due], cutoff=cutoff.isoformat())
+    session.remove(spark, pending)
+    return len(due)
+
+
+def cases(manifest: Manifest) -> DataFrame:
+    """``(run_id, fetch_id)`` of all committed batches."""
+    return manifest.entries(STATE).select(F.explode("cases").alias("c")).select("c.run_id", "c.fetch_id")
+
+
+def run_files(manifest: Manifest, batch_id: int, folder: str, process: Callable[[DataFrame], DataFrame]) -> int:
     """Process the new or changed parquet files of a folder as one batch; returns how many there were."""
-    if any(b["batch_id"] == batch_id for b in manifest.committed()):
+    if manifest.has(batch_id):
         return 0
-    fresh = [r.asDict() for r in new_files(spark, folder, manifest).orderBy("path").toLocalIterator()]
+    fresh = manifest.fresh(folder).collect()  # new files only
     if fresh:
-        manifest.write(batch_id, process(spark.read.parquet(*[f["path"] for f in fresh])), fresh)
+        rows = process(manifest.spark.read.parquet(*[f.path for f in fresh]))
+        manifest.write(batch_id, rows, manifest.spark.createDataFrame(fresh, INPUT), runs=[])
     return len(fresh)
 
 
-def found(spark: SparkSession, fetches: DataFrame, runs: DataFrame) -> DataFrame:
-    """p5_found: what each successful run must take."""
-    return replay(spark, fetches, runs)
+def found(spark: SparkSession, fetches_path: str, runs: DataFrame) -> DataFrame:
+    """p5_found: what each successful run must take, of the table's files."""
+    manifest = Manifest(spark, session.shared_dir(spark, "incremental"))
+    catch_up(manifest, fetches_path, successful_runs(runs))
+    return cases(manifest)

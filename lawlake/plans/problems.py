@@ -24,7 +24,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.found(spark, read(spark, d, "acquired_documents"), read(spark, d, "acquisition_runs"))
+    return incremental.found(spark, f"{d}/acquired_documents.parquet", read(spark, d, "acquisition_runs"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

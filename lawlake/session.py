@@ -16,10 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the setting is unset (tests on one machine) a local temporary folder is used.
+    Only where the setting is unset and the session runs on one machine (tests) a local temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lawlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lawlake/{label}-{uuid.uuid4().hex}"
@@ -49,17 +51,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small control file whole: to a temporary name, then renamed over ``path``."""
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small control file; fails if it exists. Cut off while writing, it is there incomplete."""
     fs, p = _fs(spark, path)
-    _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot write {path}")
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

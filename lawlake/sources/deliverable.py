@@ -21,6 +21,6 @@ def write(df: DataFrame, folder: str, name: str, fmt: str = "parquet", by: list[
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{staging}/data")
     listed = files.select(F.regexp_extract("path", r"/data/(.*)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where("name NOT LIKE '%_SUCCESS'")
     manifest = {"name": name, "format": fmt, "rows": df.count(), "columns": df.columns, "files": [r.asDict() for r in listed.orderBy("name").toLocalIterator()]}
-    session.write_text(spark, f"{staging}/manifest.json", json.dumps(manifest, ensure_ascii=False))
+    session.create_text(spark, f"{staging}/manifest.json", json.dumps(manifest, ensure_ascii=False))
     session.rename(spark, staging, f"{folder}/{name}")
     return manifest
