@@ -1,16 +1,20 @@
 """Dates and times in many notations, calendars and zones into one unambiguous form.
 
-Parsing runs in Arrow batches with a memo per task (as column expressions the same rules made plans the
-optimizer did not finish): the text is split into date, time and zone, the date is read by its shape and
-converted from its calendar by day-number arithmetic. Local times then meet zone-offset intervals: every zone's offsets are exploded into intervals of local time, kept per zone and year, and
-joined as of the local time. Two matching intervals mean the time occurred twice (ambiguous), none that it
-never occurred (nonexistent), one gives the offset. The interval table has one row per zone and year, so
-the join moves no large side.
+Parsing runs in Arrow batches, once per distinct value of a batch (as column expressions the same rules made
+plans the optimizer did not finish): the text is split into date, time and zone, the date is read by its shape
+and converted from its calendar by day-number arithmetic. Local times then meet zone-offset intervals: every
+zone's offsets are exploded into intervals of local time, kept per zone and year, and joined as of the local
+time. Two matching intervals mean the time occurred twice (ambiguous), none that it never occurred
+(nonexistent), one gives the offset. The interval table has one row per zone and year, so the join moves no
+large side. No year is out of its reach: before ``FIRST_YEAR`` no zone had changed its offset yet, after
+``LAST_YEAR`` the rules repeat with the calendar every 400 years.
 
 Defined results: null and blank values yield no row; what states no real date or time (30 February,
 25:00, a 13th month of 7 days, "unknown") is ``unreadable``; a calendar label that isn't known counts as
 Gregorian; values without a day can't carry a time; a year or month alone is converted only where the
-calendar's years and months are Gregorian ones (Buddhist era, Minguo), else it is ``unreadable``; a value
+calendar's years and months are Gregorian ones (Buddhist era, Minguo), else it is ``unreadable``; so is a month
+named in another calendar than the value's; a zone abbreviation means what it means in the jurisdiction's own
+zone, if that uses it (IST, CST), else its most common zone; a value
 without a known jurisdiction is read as Gregorian, day first; a local time without a known zone counts as UTC; repeated rows
 yield one row.
 """
@@ -19,12 +23,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
+from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +62,8 @@ ABBREVIATIONS = {
 # Remainders by 33 of the leap years of the solar Hijri calendar.
 SOLAR_LEAPS = (1, 5, 9, 13, 17, 22, 26, 30)
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+FIRST_YEAR, LAST_YEAR = 1840, 2500
+CYCLE_YEARS, CYCLE_SECONDS = 400, 146_097 * 86_400  # the Gregorian calendar repeats, weekdays included
 
 
 def _gregorian_days(y: int, m: int, d: int) -> int | None:
@@ -123,11 +131,29 @@ _SHAPES = [
         (rf"^{_NAME}\.? (?:de )?(\d{{4}})$", "Ny"),
     )
 ]
-_MONTHS = {n: i for i, group in enumerate(GREGORIAN_MONTHS, 1) for n in group} | {n: i for names in (ETHIOPIAN_MONTHS, SOLAR_MONTHS) for i, n in enumerate(names, 1)}
+_MONTHS = {n: i for i, group in enumerate(GREGORIAN_MONTHS, 1) for n in group}
+_MONTHS_OF = {"ethiopian": {n: i for i, n in enumerate(ETHIOPIAN_MONTHS, 1)}, "solar": {n: i for i, n in enumerate(SOLAR_MONTHS, 1)}}
 BAD = ("bad", None, None, None, None, 0, None)
 
 
-def read_value(raw: str, calendar: str = "gregorian", order: str = "dmy") -> tuple:
+@lru_cache(1024)
+def abbreviations(zone: str | None) -> dict[str, int]:
+    """Offsets in minutes of zone abbreviations as understood in a zone; its latest meaning of each name holds."""
+    own: dict[str, int] = {}
+    if zone:
+        try:
+            rules = ZoneInfo(zone)
+        except (KeyError, ValueError, OSError):
+            return ABBREVIATIONS
+        for year in range(1970, 2038):
+            for month in (1, 7):
+                at = datetime(year, month, 1, tzinfo=rules)
+                if at.tzname().isalpha():
+                    own[at.tzname()] = round(at.utcoffset().total_seconds() / 60)
+    return ABBREVIATIONS | own
+
+
+def read_value(raw: str, calendar: str = "gregorian", order: str = "dmy", home: str | None = None) -> tuple:
     """``(kind, days, year, month, second of the day, microseconds, offset)`` of a stated date or time.
 
     The kind is year, month, day, time or bad; days are since 1970; the offset is in seconds, None if the
@@ -149,8 +175,8 @@ def read_value(raw: str, calendar: str = "gregorian", order: str = "dmy") -> tup
         if zone[0] in "+-":
             digits = zone[1:].replace(":", "")
             offset = (int(digits[:2]) * 3600 + int(digits[2:]) * 60) * (-1 if zone[0] == "-" else 1)
-        elif zone in ABBREVIATIONS:
-            offset = ABBREVIATIONS[zone] * 60
+        elif zone in (known := abbreviations(home)):
+            offset = known[zone] * 60
         else:
             return BAD
     if common or offset is not None:
@@ -171,7 +197,7 @@ def read_value(raw: str, calendar: str = "gregorian", order: str = "dmy") -> tup
         leads = len(groups[0]) == 3 or order == "ymd" and len(groups[2]) < 3
         fields = "ymd" if leads else "mdy" if order == "mdy" else "dmy"
     got = dict(zip(fields, groups))
-    if "N" in got and (named := _MONTHS.get(got["N"].lower())) is None:
+    if "N" in got and (named := _MONTHS_OF.get(calendar, _MONTHS).get(got["N"].lower())) is None:
         return BAD
     y = int(got["y"])
     if len(got["y"]) < 3 and calendar != "minguo":
@@ -207,7 +233,7 @@ def read_value(raw: str, calendar: str = "gregorian", order: str = "dmy") -> tup
 PARSED = "p_kind string, p_days int, p_y int, p_m int, p_sec int, p_us int, p_off int"
 
 
-def parse(df: DataFrame, raw: str, calendar: str, order: str) -> DataFrame:
+def parse(df: DataFrame, raw: str, calendar: str, order: str, zone: str) -> DataFrame:
     """Adds the columns of PARSED, what ``read_value`` says of the text in ``raw``."""
     schema = T.StructType(df.schema.fields + T._parse_datatype_string(PARSED).fields)
 
@@ -216,9 +242,13 @@ def parse(df: DataFrame, raw: str, calendar: str, order: str) -> DataFrame:
         kinds = [pa.string()] + [pa.int32()] * 6
         names = [x.split()[0] for x in PARSED.split(", ")]
         for batch in batches:
-            got = [memo(*x) for x in zip(*(batch.column(c).to_pylist() for c in (raw, calendar, order)))]
-            columns = list(zip(*got)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(x, k) for x, k in zip(columns, kinds)], batch.schema.names + names)
+            asked = pa.StructArray.from_arrays([batch.column(c).dictionary_encode().indices for c in (raw, calendar, order, zone)], list("abcd"))
+            said = [batch.column(c).dictionary_encode().dictionary.to_pylist() + [None] for c in (raw, calendar, order, zone)]
+            keys = list(zip(*(pc.fill_null(asked.field(c), -1).to_pylist() for c in "abcd")))
+            distinct = {k: n for n, k in enumerate(dict.fromkeys(keys))}
+            got = list(zip(*(memo(*(values[x] for values, x in zip(said, k))) for k in distinct))) or [()] * len(kinds)
+            at = pa.array([distinct[k] for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(x, k).take(at) for x, k in zip(got, kinds)], batch.schema.names + names)
 
     return df.mapInArrow(run, schema)
 
@@ -228,15 +258,13 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
 
     ``zones`` holds distinct zone names in column ``zone``; names of no zone yield nothing. One row per zone and
     year, so at most (zones of the time zone database, about 600) x (years) rows; computed on the executors.
-    The offsets of the first and last year hold before and after.
+    The offset at the start of the first year holds before it, that at the end of the last year after it.
     """
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from datetime import datetime, timedelta, timezone
-        from zoneinfo import ZoneInfo, available_timezones
-
         known, ever = available_timezones(), 1 << 50
         base = datetime(1970, 1, 1, tzinfo=timezone.utc)
+        by_rule = int((datetime(2040, 1, 1, tzinfo=timezone.utc) - base).total_seconds())  # from here on two changes a year, or a month apart
         for frame in frames:
             out = []
             for name in frame["zone"]:
@@ -246,9 +274,9 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
                 offset = lambda t: int((base + timedelta(seconds=t)).astimezone(zone).utcoffset().total_seconds())  # noqa: B023, E731
                 start = int((datetime(first - 1, 12, 1, tzinfo=timezone.utc) - base).total_seconds())
                 stop = int((datetime(last + 1, 2, 1, tzinfo=timezone.utc) - base).total_seconds())
-                spans, t, off, step = [], start, offset(start), 4 * 86400
-                begun = -ever
+                spans, t, off, begun = [], start, offset(start), -ever
                 while t < stop:
+                    step = (4 if t < by_rule else 20) * 86400
                     if (new := offset(t + step)) != off:
                         lo, hi = t, t + step
                         while hi - lo > 1:
@@ -259,10 +287,11 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
                         continue
                     off, t = new, t + step
                 spans.append((begun + off, ever, off))
+                los, his = [a for a, _, _ in spans], [b for _, b, _ in spans]
                 for year in range(first, last + 1):
                     lo = int((datetime(year, 1, 1, tzinfo=timezone.utc) - base).total_seconds())
                     hi = int((datetime(year + 1, 1, 1, tzinfo=timezone.utc) - base).total_seconds()) if year < 9999 else stop
-                    out.append((name, year, [{"lo": a, "hi": b, "off": o} for a, b, o in spans if a < hi and b > lo]))
+                    out.append((name, year, [{"lo": a, "hi": b, "off": o} for a, b, o in spans[bisect_right(his, lo) : bisect_left(los, hi)]]))
             yield pd.DataFrame(out, columns=["zone", "year", "spans"])
 
     return zones.mapInPandas(explode, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:int>>")
@@ -270,16 +299,18 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
 
 def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str, zones: DataFrame) -> DataFrame:
     """Adds ``norm_value`` to rows whose ``raw`` is neither null nor blank; ``zones`` is made by ``zone_intervals``."""
-    stated = parse(values.where(F.regexp_replace(raw, r"[\s ]+", "") != ""), raw, calendar, order)
+    stated = parse(values.where(F.regexp_replace(raw, r"[\s ]+", "") != ""), raw, calendar, order, zone)
     p = lambda f: F.col(f"p_{f}")
     local = p("days").cast("bigint") * 86400 + p("sec")
-    year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.year(F.date_add(F.lit("1970-01-01").cast("date"), p("days")))))
+    stated_year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), p("days")))
+    cycles = F.when(stated_year > LAST_YEAR, F.ceil((stated_year - LAST_YEAR) / CYCLE_YEARS)).otherwise(0).cast("bigint")
+    year = F.greatest(F.lit(FIRST_YEAR), (stated_year - cycles * CYCLE_YEARS).cast("int"))
     waits = (p("kind") == "time") & p("off").isNull()
-    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.col(zone)), "__year": F.when(waits, year)})
+    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.col(zone)), "__year": F.when(waits, year), "__at": local - cycles * CYCLE_SECONDS})
     spans = zones.select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
     # proven small (see zone_intervals), and most rows wait for no zone: their null keys must not meet in one task
     met = asked.join(F.broadcast(spans), ["__zone", "__year"], "left")
-    met = met.withColumn("__hits", F.filter("__spans", lambda s: (s["lo"] <= F.col("__local")) & (F.col("__local") < s["hi"])))
+    met = met.withColumn("__hits", F.filter("__spans", lambda s: (s["lo"] <= F.col("__at")) & (F.col("__at") < s["hi"])))
     utc = F.col("__local") - F.coalesce(p("off"), F.try_element_at("__hits", F.lit(1))["off"], F.lit(0))
     in_day = F.pmod(utc, F.lit(86400))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(utc / 86400).cast("int")).cast("string")
@@ -294,7 +325,7 @@ def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str,
         .when(F.size("__hits") == 1, stamp)
         .otherwise("nonexistent")
     )
-    return met.withColumn("norm_value", value).drop("p_kind", "p_days", "p_y", "p_m", "p_sec", "p_us", "p_off", "__local", "__zone", "__year", "__spans", "__hits")
+    return met.withColumn("norm_value", value).drop("p_kind", "p_days", "p_y", "p_m", "p_sec", "p_us", "p_off", "__local", "__zone", "__year", "__at", "__spans", "__hits")
 
 
 def found(descriptors: DataFrame, acquired: DataFrame, jurisdictions: DataFrame) -> DataFrame:
