@@ -7,7 +7,7 @@ zone's offsets are exploded into intervals of local time, kept per zone and year
 time. Two matching intervals mean the time occurred twice (ambiguous), none that it never occurred
 (nonexistent), one gives the offset. The interval table has one row per zone and year, so the join moves no
 large side. No year is out of its reach: before ``FIRST_YEAR`` no zone had changed its offset yet, after
-``LAST_YEAR`` the rules repeat with the calendar every 400 years.
+``LAST_YEAR`` rules hold that give years of one kind (leap or not, same weekdays) the same changes.
 
 Defined results: null and blank values yield no row; what states no real date or time (30 February,
 25:00, a 13th month of 7 days, "unknown") is ``unreadable``; a calendar label that isn't known counts as
@@ -62,8 +62,9 @@ ABBREVIATIONS = {
 # Remainders by 33 of the leap years of the solar Hijri calendar.
 SOLAR_LEAPS = (1, 5, 9, 13, 17, 22, 26, 30)
 
-FIRST_YEAR, LAST_YEAR = 1840, 2500
-CYCLE_YEARS, CYCLE_SECONDS = 400, 146_097 * 86_400  # the Gregorian calendar repeats, weekdays included
+FIRST_YEAR, LAST_YEAR = 1840, 2128
+# the last 28 years, all by rule: one of each of the 14 kinds of year, by the weekday of 1 January (Sunday first) and leap day
+YEAR_OF_KIND = {(date(y, 1, 1).isoweekday() % 7) * 2 + (date(y, 12, 31).timetuple().tm_yday - 365): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
 
 
 def _gregorian_days(y: int, m: int, d: int) -> int | None:
@@ -294,7 +295,8 @@ def zone_intervals(zones: DataFrame, first: int = FIRST_YEAR, last: int = LAST_Y
                     out.append((name, year, [{"lo": a, "hi": b, "off": o} for a, b, o in spans[bisect_right(his, lo) : bisect_left(los, hi)]]))
             yield pd.DataFrame(out, columns=["zone", "year", "spans"])
 
-    return zones.mapInPandas(explode, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:int>>")
+    # a tenth of a second a zone: spread over the cores
+    return zones.repartition(zones.sparkSession.sparkContext.defaultParallelism, "zone").mapInPandas(explode, "zone string, year int, spans array<struct<lo:bigint,hi:bigint,off:int>>")
 
 
 def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str, zones: DataFrame) -> DataFrame:
@@ -303,10 +305,13 @@ def normalise(values: DataFrame, raw: str, calendar: str, order: str, zone: str,
     p = lambda f: F.col(f"p_{f}")
     local = p("days").cast("bigint") * 86400 + p("sec")
     stated_year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), p("days")))
-    cycles = F.when(stated_year > LAST_YEAR, F.ceil((stated_year - LAST_YEAR) / CYCLE_YEARS)).otherwise(0).cast("bigint")
-    year = F.greatest(F.lit(FIRST_YEAR), (stated_year - cycles * CYCLE_YEARS).cast("int"))
+    new_year = F.make_date(stated_year, F.lit(1), F.lit(1))
+    kind = (F.dayofweek(new_year) - 1) * 2 + F.dayofyear(F.make_date(stated_year, F.lit(12), F.lit(31))) - 365
+    alike = F.element_at(F.array(*[F.lit(YEAR_OF_KIND[k]) for k in range(14)]), kind + 1)
+    year = F.when(stated_year > LAST_YEAR, alike).otherwise(F.greatest(F.lit(FIRST_YEAR), stated_year))
+    moved = F.when(stated_year > LAST_YEAR, F.datediff(new_year, F.make_date(alike, F.lit(1), F.lit(1)))).otherwise(0).cast("bigint")
     waits = (p("kind") == "time") & p("off").isNull()
-    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.col(zone)), "__year": F.when(waits, year), "__at": local - cycles * CYCLE_SECONDS})
+    asked = stated.withColumns({"__local": local, "__zone": F.when(waits, F.col(zone)), "__year": F.when(waits, year), "__at": local - moved * 86400})
     spans = zones.select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
     # proven small (see zone_intervals), and most rows wait for no zone: their null keys must not meet in one task
     met = asked.join(F.broadcast(spans), ["__zone", "__year"], "left")
