@@ -4,14 +4,20 @@ Every bucket of keys holds its state in an embedded DuckDB table and takes chang
 upserts: a change is stored only if its sequence is above the one stored, so repeated and late changes do
 nothing, and a removal stays behind as a tombstone sequence. All registers are maxima, hence the order of
 arrival is irrelevant and partial states merge by the same upsert: each input task first compacts its own
-changes (a key that holds a third of the feed leaves a task as one row), then rows meet in their bucket.
-Buckets are exported and published together by one rename.
+changes (a key that holds a third of the feed leaves a task as one row), then rows meet in their bucket with
+the bucket's stored registers.
+
+A batch of the feed starts from the published state and publishes the next one (``session.Generations``): all
+buckets become visible together, a crash leaves the state before. An effect's revision can take back what
+an earlier one did to a provision, which maxima can't; so the effects are a state of their own, and the
+provisions that a changed effect meets or met are folded anew from it, the others kept.
 
 Memory of a bucket is that of its keys (DuckDB spills beyond its limit); the number of buckets follows
 spark.sql.shuffle.partitions.
 
 Defined results: a change with a null key or null sequence has no effect; of changes that agree in key and
-sequence either holds, as they are repeats; an empty feed publishes an empty table.
+sequence either holds, as they are repeats; an empty feed publishes an empty table; a feed applied in any
+number of batches, overlapping or not, gives the state of the whole.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ class Register:
 
 
 def _upsert(keys: list[str], registers: list[Register], memory: str):
-    """mapInArrow function: applies the changes of a partition to a fresh bucket and emits its state."""
+    """mapInArrow function: upserts the rows of a partition, changes and stored registers, into its bucket and emits the state."""
     import duckdb  # noqa: F401  (fail on the driver if it isn't installed)
 
     def q(name: str) -> str:
@@ -87,11 +93,11 @@ def _upsert(keys: list[str], registers: list[Register], memory: str):
     return run
 
 
-def apply_changes(feed: DataFrame, keys: list[str], seq: Column, registers: list[Register], memory: str = "400MB") -> DataFrame:
+def apply_changes(feed: DataFrame, keys: list[str], seq: Column, registers: list[Register], stored: DataFrame | None = None, memory: str = "400MB") -> DataFrame:
     """One row per key: for each register the sequence and payload of its greatest change (null if none).
 
-    ``seq`` must be a string whose order is that of the changes. Columns come out as ``<register>_seq`` and
-    ``<register>_<payload>``, all strings.
+    ``seq`` must be a string whose order is that of the changes; ``stored`` is an earlier result to start
+    from. Columns come out as ``<register>_seq`` and ``<register>_<payload>``, all strings.
     """
     cols = [F.col(k).cast("string").alias(k) for k in keys]
     made = feed.withColumn("__seq", seq)
@@ -105,15 +111,8 @@ def apply_changes(feed: DataFrame, keys: list[str], seq: Column, registers: list
     schema = T.StructType([T.StructField(c, T.StringType()) for c in changes.columns])
     run = _upsert(keys, registers, memory)
     compacted = changes.mapInArrow(run, schema)
-    return compacted.repartition(*keys).mapInArrow(run, schema)
-
-
-def publish(spark: SparkSession, state: DataFrame, folder: str) -> DataFrame:
-    """Export every bucket, then make them visible together; readers never see a part."""
-    staging = f"{folder}/.staging"
-    state.write.mode("overwrite").parquet(staging)
-    session.rename(spark, staging, f"{folder}/state")
-    return spark.read.schema(state.schema).parquet(f"{folder}/state")
+    met = compacted if stored is None else compacted.unionByName(stored)
+    return met.repartition(*keys).mapInArrow(run, schema)
 
 
 PUTS = "insertion", "reenactment"
@@ -130,35 +129,80 @@ def _order(date: str, number: str, last: str) -> Column:
     return F.concat_ws("|", F.date_format(date, "yyyy-MM-dd"), F.lpad((F.col(number).cast("long") + F.lit(1 << 40)).cast("string"), 14, "0"), F.col(last))
 
 
-def latest_revisions(feed: DataFrame) -> DataFrame:
-    """Of each publisher_effect_id the content of its highest revision (of repeated deliveries the last)."""
-    content = ["akn_action", "target_frbr_uri", "target_akn_wid", "effect_no", "in_force_date", "applied", "new_text"]
+CONTENT = {"akn_action": "string", "target_frbr_uri": "string", "target_akn_wid": "string", "effect_no": "int", "in_force_date": "date", "applied": "boolean", "new_text": "string"}
+KEYS = ["target_frbr_uri", "target_akn_wid"]
+
+
+def latest_revisions(feed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Of each publisher_effect_id the content of its highest revision (of repeated deliveries the last), as registers."""
     seq = F.concat_ws("|", *[F.lpad((F.coalesce(F.col(c), F.lit(-1)).cast("long") + F.lit(1 << 50)).cast("string"), 17, "0") for c in ("revision", "feed_seq")])
-    kept = apply_changes(feed, ["publisher_effect_id"], seq, [Register("rev", "true", tuple(content))])
-    casts = {"effect_no": "int", "in_force_date": "date", "applied": "boolean"}
-    return kept.select("publisher_effect_id", *[F.col(f"rev_{c}").cast(casts.get(c, "string")).alias(c) for c in content])
+    return apply_changes(feed, ["publisher_effect_id"], seq, [Register("rev", "true", tuple(CONTENT))], stored)
 
 
-def provisions_standing(feed: DataFrame) -> DataFrame:
-    """``(target_frbr_uri, target_akn_wid, publisher_effect_id, new_text)`` of the provisions there in the end.
+def _contents(effects: DataFrame) -> DataFrame:
+    return effects.select("publisher_effect_id", *[F.col(f"rev_{c}").cast(t).alias(c) for c, t in CONTENT.items()])
 
-    A provision stands if it was put there after its last removal; its text is that of the last effect that
-    put or replaced it, which then lies after that removal as well.
-    """
-    effects = latest_revisions(feed).where("applied AND in_force_date IS NOT NULL AND target_akn_wid IS NOT NULL AND target_frbr_uri IS NOT NULL")
-    effects = effects.withColumn("action", F.lower(F.regexp_replace("akn_action", r"^\s+|\s+$", "")))
+
+def provision_registers(effects: DataFrame) -> DataFrame:
+    """Per provision its last removal, its last placing and the last effect that set its text."""
+    live = _contents(effects).where("applied AND in_force_date IS NOT NULL AND target_akn_wid IS NOT NULL AND target_frbr_uri IS NOT NULL")
+    live = live.withColumn("action", F.lower(F.regexp_replace("akn_action", r"^\s+|\s+$", "")))
     seq = F.when(F.col("effect_no").isNotNull(), _order("in_force_date", "effect_no", "publisher_effect_id"))
     registers = [
         Register("removed", _one_of(REMOVES)),
         Register("put", _one_of(PUTS)),
         Register("text", _one_of(PUTS + REPLACES), ("publisher_effect_id", "new_text")),
     ]
-    state = apply_changes(effects, ["target_frbr_uri", "target_akn_wid"], seq, registers)
+    return apply_changes(live, KEYS, seq, registers)
+
+
+def standing(registers: DataFrame) -> DataFrame:
+    """``(target_frbr_uri, target_akn_wid, publisher_effect_id, new_text)`` of the provisions there in the end.
+
+    A provision stands if it was put there after its last removal; its text is that of the last effect that
+    put or replaced it, which then lies after that removal as well.
+    """
     there = F.col("put_seq").isNotNull() & (F.col("removed_seq").isNull() | (F.col("put_seq") > F.col("removed_seq")))
-    return state.where(there).select("target_frbr_uri", "target_akn_wid", F.col("text_publisher_effect_id").alias("publisher_effect_id"), F.col("text_new_text").alias("new_text"))
+    return registers.where(there).select(*KEYS, F.col("text_publisher_effect_id").alias("publisher_effect_id"), F.col("text_new_text").alias("new_text"))
+
+
+class Provisions:
+    """The provisions standing after all batches of a feed, in a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.store = spark, session.Generations(spark, folder)
+
+    def _stored(self, folder: str, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{folder}/{kind}")
+
+    def apply(self, feed: DataFrame) -> None:
+        """Apply a batch of the feed and publish the next state."""
+        number, before = self.store.current()
+        after = self.store.start()
+        latest_revisions(feed, self._stored(before, "effects") if before else None).write.parquet(f"{after}/effects")
+        effects = self._stored(after, "effects")
+        if before is None:
+            provision_registers(effects).write.parquet(f"{after}/provisions")
+        else:
+            ids = feed.select("publisher_effect_id").where("publisher_effect_id IS NOT NULL").distinct()
+            of = lambda state: state.join(ids, "publisher_effect_id", "left_semi").select(*[F.col(f"rev_{k}").alias(k) for k in KEYS])
+            met = of(self._stored(before, "effects")).union(of(effects)).dropna().distinct()
+            met.write.parquet(f"{after}/met")
+            met = self._stored(after, "met")
+            again = effects.join(met.select(*[F.col(k).alias(f"rev_{k}") for k in KEYS]), [f"rev_{k}" for k in KEYS], "left_semi")
+            kept = self._stored(before, "provisions").join(met, KEYS, "left_anti")
+            kept.unionByName(provision_registers(again)).write.parquet(f"{after}/provisions")
+        self.store.publish(after, number)
+
+    def standing(self) -> DataFrame:
+        _, current = self.store.current()
+        if current is None:
+            raise ValueError("nothing was published yet")
+        return standing(self._stored(current, "provisions"))
 
 
 def found(spark: SparkSession, feed: DataFrame) -> DataFrame:
     """p7_found: the standing provisions with the effect their text comes from."""
-    published = publish(spark, provisions_standing(feed), session.shared_dir(spark, "change-feed"))
-    return published.select("target_frbr_uri", "target_akn_wid", "publisher_effect_id")
+    provisions = Provisions(spark, session.shared_dir(spark, "change-feed"))
+    provisions.apply(feed)
+    return provisions.standing().select(*KEYS, "publisher_effect_id")

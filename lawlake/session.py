@@ -78,3 +78,33 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     if not fs.exists(p):
         return []
     return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
+
+
+class Generations:
+    """States of a store in a folder: each is written under ``data/`` and made the current one by creating a pointer.
+
+    Pointers are numbered and only ever created, so readers see a whole state or the one before, a crash leaves
+    the one before, and of two writers that start from the same state one fails.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def current(self) -> tuple[int, str | None]:
+        """Number and folder of the newest complete generation; (0, None) before the first."""
+        for name, _ in reversed(list_files(self.spark, f"{self.folder}/current")):
+            text = read_text(self.spark, f"{self.folder}/current/{name}") or ""
+            if text.endswith("\n"):  # else cut off while being written
+                return int(name), f"{self.folder}/data/{text.strip()}"
+        return 0, None
+
+    def start(self) -> str:
+        """A folder for the next generation."""
+        return f"{self.folder}/data/{uuid.uuid4().hex}"
+
+    def publish(self, written: str, after: int) -> None:
+        """Make the written folder the current generation, if ``after`` still is the newest."""
+        if self.current()[0] != after:
+            raise OSError(f"another writer published after {after}")
+        used = [int(name) for name, _ in list_files(self.spark, f"{self.folder}/current")]
+        create_text(self.spark, f"{self.folder}/current/{max(used, default=0) + 1:012d}", written.rpartition("/")[2] + "\n")
