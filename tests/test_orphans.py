@@ -1,5 +1,7 @@
+import random
 from datetime import datetime
 
+from lawlake import session
 from lawlake.operators import orphans as o
 
 T = datetime
@@ -42,15 +44,64 @@ def test_reasons_and_dirt(spark):
     assert counted["target_frbr_uri", "2024-02", "late"] == 2
 
 
-def test_balances_are_additive(spark):
-    laws = spark.createDataFrame([("l1", "/a", T(2024, 1, 1), None)], LAWS)
-    none_v, none_p = spark.createDataFrame([], VERSIONS), spark.createDataFrame([], PROVISIONS)
-    rows = o.existence(laws, none_v, none_p)
-    effects = spark.createDataFrame([("e1", "v", None, "/a", None, T(2024, 2, 1), ""), ("e2", "v", None, "/b", None, T(2024, 2, 1), "")], EFFECTS)
-    refs = o.references(effects)
-    whole = o.merge_balances(o.deltas(refs, rows))
-    parts = o.merge_balances(o.merge_balances(o.deltas(refs.where("id = 'e1'"), rows)).unionByName(o.merge_balances(o.deltas(refs.where("id = 'e2'"), rows.limit(0)))))
-    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+def states_of(spark, effects, laws, versions, provisions):
+    """(delivered, new) of a batch, versions and laws being those to look keys up in."""
+    e, l, v, p = tables(spark, effects, laws, versions, provisions)
+    ids = [df.select(o.F.lit(k).alias("kind"), "id") for k, df in (("effect", e), ("law", l), ("provision", p))]
+    return ids[0].union(ids[1]).union(ids[2]), o.effect_states(e).unionByName(o.law_states(l)).unionByName(o.provision_states(p, v, l))
+
+
+class Store:
+    """States and balance, written between batches."""
+
+    def __init__(self, spark):
+        self.spark, self.store = spark, session.Generations(spark, session.shared_dir(spark, "orphans"))
+
+    def read(self):
+        _, at = self.store.current()
+        return [self.spark.read.parquet(f"{at}/{x}") for x in ("states", "balance")]
+
+    def take(self, delivered, new):
+        number, before = self.store.current()
+        made, at = o.advance(*self.read(), delivered, new) if before else o.first_load(new), self.store.start()
+        for df, name in zip(made, ("states", "balance")):
+            df.write.parquet(f"{at}/{name}")
+        self.store.publish(at, number)
+
+    def report(self):
+        return sorted(map(tuple, o.orphan_report(*self.read()).collect()), key=str)
+
+
+def test_a_deletion_that_arrives_as_a_change_makes_an_orphan(spark):
+    store, t0, t1 = Store(spark), T(2024, 1, 1), T(2024, 2, 1)
+    store.take(*states_of(spark, [("e1", "v", None, "/a", None, t1, "")], [("l1", "/a", t0, None)], [], []))
+    assert store.report() == []
+    store.take(*states_of(spark, [], [("l1", "/a", t0, t1)], [], []))
+    assert store.report() == [("e1", "target_frbr_uri", "2024-02", "deleted")]
+    store.take(*states_of(spark, [], [("l1", "/A/", T(2024, 3, 1), None)], [], []))  # it comes back later
+    assert store.report() == [("e1", "target_frbr_uri", "2024-02", "late")]
+    store.take(*states_of(spark, [], [("l2", "/a", t0, None), ("l2", "/a", t0, None)], [], []))
+    assert store.report() == []
+    gone = spark.createDataFrame([("law", "l1"), ("law", "l2")], "kind string, id string")
+    store.take(gone, store.read()[0].limit(0))
+    assert store.report() == [("e1", "target_frbr_uri", "2024-02", "missing")]
+    store.take(*states_of(spark, [("e1", "v", None, None, None, t1, "")], [], [], []))  # the reference is taken back
+    assert store.report() == [] and store.read()[1].count() == 0
+
+
+def test_batches_of_deliveries_give_the_report_of_the_last_states(spark):
+    rnd = random.Random(5)
+    when = lambda: T(2024, rnd.randrange(1, 6), 1)
+    store, laws, effects = Store(spark), {}, {}
+    for _ in range(4):
+        new_laws = [(f"l{rnd.randrange(6)}", rnd.choice(["/a", "/b", "/c"]), when(), rnd.choice([None, None, when()])) for _ in range(4)]
+        new_effects = [(f"e{rnd.randrange(9)}", "v", None, rnd.choice(["/a", "/b", "/c", None]), rnd.choice([None, "s1"]), when(), "") for _ in range(5)]
+        new_laws, new_effects = list({r[0]: r for r in new_laws}.values()), list({r[0]: r for r in new_effects}.values())
+        laws.update({r[0]: r for r in new_laws})
+        effects.update({r[0]: r for r in new_effects})
+        store.take(*states_of(spark, new_effects, new_laws, [], []))
+        whole = o.found(*tables(spark, list(effects.values()), list(laws.values()), [], []))
+        assert store.report() == sorted(map(tuple, whole.collect()), key=str)
 
 
 def test_empty(spark):
