@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lawlake.operators import change_feed, incremental, nested_records, orphans, timestamps
 from lawlake.plans import problems_sql
@@ -10,13 +11,19 @@ from lawlake.session import read
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested_records.found(read(spark, d, "versions"))
+    return nested_records.found(spark, read(spark, d, "versions"))
 
 
 def p2_articles(spark: SparkSession, d: str) -> DataFrame:
     """The table of one group: articles with their ids, number, heading and parent row."""
     fields = {"eid": "@eId", "wid": "@wId", "num": "num", "heading": "heading"}
-    return nested_records.pivot_group(read(spark, d, "versions"), "id", "akn_xml", "article", fields)
+    table = nested_records.Tables(spark, read(spark, d, "versions"), "id", "akn_xml").table("article", fields)
+    return table.select(F.col("record_id").alias("version_id"), "node_no", "parent_no", *fields)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every table that the records give, with its rows per kind of parent."""
+    return nested_records.group_sizes(spark, read(spark, d, "versions"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +47,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return change_feed.found(spark, read(spark, d, "effect_feed"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_articles, p4_found, p5_found, p6_found, p6_counts, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_articles, p2_groups, p4_found, p5_found, p6_found, p6_counts, p7_found)}
 SQL = {
     "p5_found": problems_sql.P5,
     "p6_found": problems_sql.P6,
