@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 TOKEN_VERSION = 1
 _RUN = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 # Language codes of other standards, and light suffixes per language, longest first.
-ISO_639_3 = {"en": "eng", "de": "deu", "ger": "deu", "fr": "fra", "fre": "fra", "es": "spa", "zh": "zho", "chi": "zho", "th": "tha", "ru": "rus", "ar": "ara", "fa": "fas", "per": "fas", "am": "amh", "it": "ita", "pt": "por", "nl": "nld", "dut": "nld", "pl": "pol", "uk": "ukr", "el": "ell", "gre": "ell"}
+ISO_639_3 = {"en": "eng", "de": "deu", "ger": "deu", "fr": "fra", "fre": "fra", "es": "spa", "esp": "spa", "zh": "zho", "chi": "zho", "th": "tha", "ru": "rus", "ar": "ara", "fa": "fas", "per": "fas", "am": "amh", "it": "ita", "pt": "por", "nl": "nld", "dut": "nld", "pl": "pol", "uk": "ukr", "el": "ell", "gre": "ell"}
 SUFFIXES = {
     "eng": ["ations", "ation", "ings", "ing", "ies", "ed", "es", "s"],
     "deu": ["ungen", "ung", "ern", "en", "er", "es", "em", "e", "n", "s"],
