@@ -1,9 +1,10 @@
 """Token streams of bodies in HTML, Markdown, wiki and LaTeX markup.
 
-Every lexer gives the same alphabet. Structure: H h (heading), L l (list), I i (list item); contents: T
-(text), C (code block), F (formula). Markup inside texts is resolved: character references and commands
-become their characters, links their label; comments, scripts, styles, page titles, notes, anchors and
-templates vanish.
+A token opens an element (``<`` and its label), closes the innermost one (``>``) or is content: T (text), C (code
+block), F (formula). A label is what stands in the markup, the tag with its classes or the marker of the line,
+after one letter: H, L, I where the language itself says heading, list or item, B for any other block, whose part
+is left to the wrapper of its host. Markup inside texts is resolved: character references and commands become
+their characters, links their label; comments, scripts, styles, page titles, notes, anchors and templates vanish.
 """
 
 from __future__ import annotations
@@ -91,34 +92,58 @@ class _Out:
         if source.strip():
             self.tokens.append(("C", squeeze(source)))
 
-    def start(self, letter: str) -> None:
-        self.open.append(letter)
-        self.tokens.append((letter, None))
+    def start(self, letter: str, label: str = "") -> None:
+        self.open.append(letter + label)
+        self.tokens.append(("<", letter + label))
+
+    def close(self) -> None:
+        self.open.pop()
+        self.tokens.append((">", None))
 
     def end(self, letter: str) -> None:
-        """Closes the innermost open ``letter`` with all in it; ignored if there is none."""
-        if letter in self.open:
-            while True:
-                x = self.open.pop()
-                self.tokens.append((x.lower(), None))
-                if x == letter:
-                    return
+        """Closes the innermost open element of this letter with all in it; ignored if there is none."""
+        if any(x[0] == letter for x in self.open):
+            while self.open[-1][0] != letter:
+                self.close()
+            self.close()
 
     def end_item(self) -> None:
         """Closes the item of the innermost list, if one is open."""
         for x in reversed(self.open):
-            if x == "L":
+            if x[0] == "L":
                 return
-            if x == "I":
+            if x[0] == "I":
                 self.end("I")
                 return
 
+    def end_block(self, tags: tuple[str, ...]) -> None:
+        """Closes the innermost block of one of these tags with all blocks in it, if no list, item or heading is in between."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] != "B":
+                return
+            if self.open[k][1:].partition(".")[0] in tags:
+                while len(self.open) > k:
+                    self.close()
+                return
+
     def done(self) -> list[Token]:
         while self.open:
-            self.tokens.append((self.open.pop().lower(), None))
+            self.close()
         return self.tokens
 
 
+# Block elements without a part of their own, and those whose start ends one that is open.
+BLOCKS = frozenset("p div section article main aside header footer nav figure figcaption blockquote table tr td th dl dt dd".split())
+IMPLIED_ENDS = {"p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+DEEPEST_BLOCK = 60  # blocks nested deeper part texts, but are no elements
+
+
+def _label(tag: str, attrs: list) -> str:
+    """The tag with its classes, those with digits aside, which number things."""
+    said = next((v for k, v in attrs if k == "class" and v), "")
+    return ".".join([tag, *sorted(c for c in said.lower().split() if re.fullmatch("[a-z_-]{1,30}", c))])
+
+
 class _Html(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -154,17 +179,23 @@ class _Html(HTMLParser):
         elif re.fullmatch("h[1-6]", tag):
             self.flush()
             self.out.end("H")
-            self.out.start("H")
+            self.out.end_block(("p",))
+            self.out.start("H", _label(tag, attrs))
         elif tag in ("ul", "ol"):
             self.flush()
-            self.out.start("L")
+            self.out.end_block(("p",))
+            self.out.start("L", _label(tag, attrs))
         elif tag == "li":
             self.flush()
-            if "L" not in self.out.open:
-                self.out.start("L")
+            if not any(x[0] == "L" for x in self.out.open):
+                self.out.start("L", "ul")
             self.out.end_item()
-            self.out.start("I")
-        elif tag in ("p", "div", "br", "table", "tr", "td", "th", "hr", "section", "article", "blockquote", "dl", "dt", "dd", "body"):
+            self.out.start("I", _label(tag, attrs))
+        elif tag in BLOCKS and len(self.out.open) < DEEPEST_BLOCK:
+            self.flush()
+            self.out.end_block(IMPLIED_ENDS.get(tag, ()))
+            self.out.start("B", _label(tag, attrs))
+        elif tag in BLOCKS or tag in ("br", "hr", "body"):
             self.buffer.append("\n")
 
     def handle_endtag(self, tag: str) -> None:
@@ -193,8 +224,9 @@ class _Html(HTMLParser):
         elif tag == "li":
             self.flush()
             self.out.end_item()
-        elif tag in ("p", "div", "tr", "td", "th"):
-            self.buffer.append("\n")
+        elif tag in BLOCKS:
+            self.flush()
+            self.out.end_block((tag,))
 
     def handle_data(self, data: str) -> None:
         if self.skip:
@@ -291,14 +323,14 @@ def lex_markdown(text: str) -> list[Token]:
         heading = re.match(r"^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line)
         if heading:
             leave_lists()
-            out.start("H")
+            out.start("H", "#")
             out.text(heading[1] or "")
             out.end("H")
             continue
         if para and not levels and re.match(r"^ {0,3}(?:=+|-+)[ \t]*$", line):
             said = "\n".join(para)
             para.clear()
-            out.start("H")
+            out.start("H", line.strip()[0])
             out.text(said)
             out.end("H")
             continue
@@ -322,10 +354,10 @@ def lex_markdown(text: str) -> list[Token]:
                 out.end("L")
             if not levels or indent >= levels[-1] + 2:
                 levels.append(indent)
-                out.start("L")
+                out.start("L", "1" if line.strip()[0].isdigit() else "-")
             else:
                 out.end_item()
-            out.start("I")
+            out.start("I", "1" if line.strip()[0].isdigit() else "-")
             if item[2]:
                 para.append(item[2])
             continue
@@ -391,7 +423,7 @@ def lex_wiki(text: str) -> list[Token]:
         elif m := re.match(r"^(={1,6})(.+?)\1\s*$", line):
             flush()
             lists(0)
-            out.start("H")
+            out.start("H", m[1])
             out.text(m[2])
             out.end("H")
         elif (m := re.match(r"^([*#:;]+)\s*(.*)$", line)) and set(m[1]) & {"*", "#"}:
@@ -400,13 +432,13 @@ def lex_wiki(text: str) -> list[Token]:
             lists(min(depth, new))
             if depth < new:
                 while depth < new:
-                    out.start("L")
+                    out.start("L", m[1][depth])
                     depth += 1
                     if depth < new:
-                        out.start("I")
+                        out.start("I", m[1][depth - 1])
             else:
                 out.end_item()
-            out.start("I")
+            out.start("I", m[1][-1])
             out.text(m[2])
         elif not line.strip():
             flush()
@@ -511,14 +543,14 @@ class _Latex:
             self.flush()
             self.optional()
             inner = _Latex(self.group())
-            self.out.start("H")
+            self.out.start("H", name)
             self.out.tokens += [t for t in inner.run() if t[0] in "TF"]
             self.out.end("H")
         elif name == "item":
             self.flush()
             self.optional()
             self.out.end_item()
-            self.out.start("I")
+            self.out.start("I", "item")
         elif name == "href":
             self.group()  # the address; the label is ordinary text
         elif name == "verb":
@@ -556,7 +588,7 @@ class _Latex:
         elif bare in _LIST_ENVS:
             self.flush()
             self.optional()
-            self.out.start("L")
+            self.out.start("L", bare)
         elif bare in ("comment",):
             self.until(f"\\end{{{env}}}")
         else:

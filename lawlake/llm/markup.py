@@ -1,26 +1,32 @@
 """Structure of marked-up documents by union-free regular-expression wrappers per host.
 
-Bodies become token streams (``lexers``), one letter per token. For every host and kind of markup a wrapper
-is inferred from all its streams: the contents of each element path are aligned one after the other with
-the expression so far; tokens without partner become optional, what comes again becomes a repeated group
-(of optionals, if its members come in any order), texts become slots. An expression names each token once,
-so it stays as small as the alphabet however many documents it has seen, and merging two expressions is the
-same alignment: every task infers its own wrappers and only these, not documents, are shuffled and merged.
-
-Applied to a stream, the wrapper is one regular expression whose named slots are the elements: headings,
-list items, code blocks and formulas, and the plain text between them.
+Bodies become streams of raw tokens (``lexers``): tags with their classes or markers of lines, and contents. For
+every host and kind of markup a wrapper is inferred from all its streams. The contents of an element path are
+aligned one after the other with the expression so far: a token without partner becomes optional; where a
+token comes again, the stretch from its first place is tested for a square, and becomes a repeated group of the
+tokens in their order, those missing from a repetition optional; texts become slots. There is no union:
+tokens of no fixed order are one group of optionals. An expression names each token once, so it stays as
+small as the alphabet however many documents it has seen, and merging two expressions is the same alignment:
+every task infers its own wrappers and only these, not documents, are shuffled and merged.
+
+The wrapper says what its slots are. Where the language has a tag for headings, lists or items that
+holds; what a host's template marks up with blocks of its own classes is read from the expression
+(``parts``): a block that holds nothing but one repeated block of texts is a list, a text that opens every round
+of a repeated group is its heading. Applied to a stream, the wrapper is one regular expression whose named
+slots are the elements, and the plain text between them.
 
 Bodies without markup are dropped when they are tokenized; the token streams of the others are written once
 to the shared folder and read for inference and for extraction.
 
 Defined results: null or blank contents and bodies without markup yield nothing; invalid UTF-8 is replaced;
-a body of no known fetch belongs to the host "" ; elements repeated within a body come once in ``found``;
-should a stream not match its host's wrapper (a host seen only after inference), the most general wrapper
-applies.
+a body of no known fetch belongs to the host ""; elements repeated within a body come once in ``found``;
+a stream nested beyond ``DEEPEST``, or seen only after inference and not matched by its host's wrapper, is read
+by the language's own tags and the parts the wrapper gives.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,52 +39,102 @@ from pyspark.sql import functions as F
 from lawlake import session
 from lawlake.llm import lexers
 
-# a factor of an expression: its symbols in order, whether it must occur, whether it may repeat
-Factor = tuple[str, bool, bool]
-COMPOSITE = {"H": "h", "L": "l", "I": "i"}
-SLOTS = {"C": "code", "F": "formula"}
+# a member of a factor: its token, whether it must occur, whether it may repeat at once
+Member = tuple[str, bool, bool]
+# a factor: members in order, whether it must occur, whether the whole may repeat
+Factor = tuple[tuple[Member, ...], bool, bool]
+SLOTS = {"T": "text", "C": "code", "F": "formula"}
+PARTS = {"H": "heading", "L": "list", "I": "list_item"}
+DEEPEST = 100
 
 
-def contents(skeleton: str) -> Iterator[tuple[str, str]]:
-    """(path, child symbols in order) of every element of a balanced stream; the path of the body is empty."""
+def contents(stream: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """(path, tokens in order) of every element of a balanced stream; the path of the body is empty."""
     stack: list[tuple[str, list[str]]] = [("", [])]
-    for c in skeleton:
-        if c in COMPOSITE:
-            path, kids = stack[-1]
-            kids.append(c)
-            stack.append((path + c, []))
-        elif c in "hli":
-            path, kids = stack.pop()
-            yield path, "".join(kids)
+    for token in stream:
+        if token == ">":
+            yield stack.pop()
+        elif token[0] == "<":
+            path, inner = stack[-1]
+            inner.append(token)
+            stack.append((f"{path}{token}", []))
         else:
-            stack[-1][1].append(c)
-    yield "", "".join(stack[0][1])
+            stack[-1][1].append(token)
+    yield stack[0]
+
+
+def depth(stream: list[str]) -> int:
+    deepest = now = 0
+    for token in stream:
+        now += 1 if token[0] == "<" else -1 if token == ">" else 0
+        deepest = max(deepest, now)
+    return deepest
+
+
+def tokens_of(factor: Factor) -> list[str]:
+    return [t for t, _, _ in factor[0]]
+
+
+def _joined(factors: list[Factor]) -> Factor:
+    """The repeated group that holds any sequence of what the factors hold: all their tokens, each optional."""
+    order = dict.fromkeys(t for f in factors for t in tokens_of(f))
+    if len(order) == 1:
+        return ((next(iter(order)), True, False),), any(m for _, m, _ in factors), True
+    return tuple((t, False, True) for t in order), any(m for _, m, _ in factors), True
 
 
 def settle(factors: list[Factor]) -> list[Factor]:
-    """Every symbol in one factor: what comes again makes one repeated group of all from its first to its last place."""
+    """Every token in one factor: what comes again makes one repeated group of all from its first to its last place."""
     out: list[Factor] = []
-    for syms, must, many in factors:
-        first = next((i for i, (s, _, _) in enumerate(out) if set(s) & set(syms)), None)
+    for f in factors:
+        first = next((i for i, o in enumerate(out) if set(tokens_of(o)) & set(tokens_of(f))), None)
         if first is None:
-            out.append((syms, must, many))
+            out.append(f)
         else:
-            span = out[first:]
-            merged = "".join(dict.fromkeys("".join(s for s, _, _ in span) + syms))
-            out[first:] = [(merged, must or any(m for _, m, _ in span), True)]
+            out[first:] = [_joined([*out[first:], f])]
     return out
 
 
-def fold(children: str) -> list[Factor]:
+def square(members: list[str], said: list[str]) -> Factor:
+    """The group of these tokens, in this order, as a sequence of them repeats it: what every round has must occur."""
+    place = {t: k for k, t in enumerate(members)}
+    rounds: list[list[str]] = []
+    for t in said:
+        if not rounds or place[t] < place[rounds[-1][-1]]:
+            rounds.append([])
+        rounds[-1].append(t)
+    if len(members) == 1:
+        return ((members[0], True, False),), True, len(said) > 1
+    return tuple((t, all(t in r for r in rounds), any(r.count(t) > 1 for r in rounds)) for t in members), True, len(rounds) > 1
+
+
+def fold(said: list[str]) -> list[Factor]:
     """The expression of one sequence."""
-    return settle([(c, True, False) for c in children])
+    out, at = [], 0
+    for f in settle([(((t, True, False),), True, False) for t in said]):
+        mine, end = tokens_of(f), at
+        while end < len(said) and said[end] in mine:
+            end += 1
+        out.append(square(mine, said[at:end]))
+        at = end
+    return out
+
+
+def _met(x: Factor, y: Factor) -> Factor:
+    """The factor that holds what either holds."""
+    if tokens_of(x) == tokens_of(y):
+        return tuple((t, m and n, p or q) for (t, m, p), (_, n, q) in zip(x[0], y[0])), x[1] and y[1], x[2] or y[2]
+    group, _, many = _joined([x, y])
+    return group, x[1] and y[1], many
 
 
 def align(a: list[Factor], b: list[Factor]) -> list[Factor]:
-    """The expression that holds what either holds: factors aligned by shared symbols, the rest optional."""
+    """The expression that holds what either holds: factors aligned by shared tokens, the rest optional."""
+    if a == b:
+        return a
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    meets = [[bool(set(x[0]) & set(y[0])) for y in b] for x in a]
+    meets = [[bool(set(tokens_of(x)) & set(tokens_of(y))) for y in b] for x in a]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if meets[i][j] else 0)
@@ -86,8 +142,7 @@ def align(a: list[Factor], b: list[Factor]) -> list[Factor]:
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and meets[i][j] and best[i][j] == best[i + 1][j + 1] + 1:
-            syms = "".join(dict.fromkeys(a[i][0] + b[j][0]))
-            out.append((syms, a[i][1] and b[j][1], a[i][2] or b[j][2]))
+            out.append(_met(a[i], b[j]))
             i, j = i + 1, j + 1
         elif i < n and (j == m or best[i][j] == best[i + 1][j]):
             out.append((a[i][0], False, a[i][2]))
@@ -95,100 +150,122 @@ def align(a: list[Factor], b: list[Factor]) -> list[Factor]:
         else:
             out.append((b[j][0], False, b[j][2]))
             j += 1
-    settled = settle(out)
     # a group that swallowed an optional part holds, but may be empty only if all its parts could be
-    return [(s, all(_needs(x, s) for x in (a, b)), many) for s, _, many in settled]
+    return [(g, all(_needs(x, g) for x in (a, b)), many) for g, _, many in settle(out)]
 
 
-def _needs(expression: list[Factor], syms: str) -> bool:
-    return any(must and set(s) <= set(syms) for s, must, _ in expression)
+def _needs(expression: list[Factor], group: tuple[Member, ...]) -> bool:
+    mine = {t for t, _, _ in group}
+    return any(must and set(tokens_of((g, must, many))) <= mine for g, must, many in expression)
 
 
 def show(expression: list[Factor]) -> str:
-    return " ".join(s + "?*+"[{(0, 0): 0, (0, 1): 1, (1, 1): 2}[int(must), int(many)]] if not must or many else s for s, must, many in expression)
+    return json.dumps(expression, ensure_ascii=False, separators=(",", ":"))
 
 
 def read(text: str) -> list[Factor]:
-    out = []
-    for f in text.split():
-        mark = f[-1] if f[-1] in "?*+" else ""
-        out.append((f.rstrip("?*+"), mark not in ("?", "*"), mark in ("*", "+")))
-    return out
+    return [(tuple((t, must, many) for t, must, many in group), must_all, many_all) for group, must_all, many_all in json.loads(text)]
 
 
-def infer(observed: Iterable[tuple[str, str]]) -> dict[str, list[Factor]]:
-    """The wrapper (path -> expression) of (path, children or expression text) pairs."""
+def infer(observed: Iterable[tuple[str, list[Factor]]]) -> dict[str, list[Factor]]:
+    """The wrapper (path -> expression) of (path, expression) pairs."""
     wrapper: dict[str, list[Factor]] = {}
-    for path, text in observed:
-        new = read(text)
+    for path, new in observed:
         wrapper[path] = align(wrapper[path], new) if path in wrapper else new
     return wrapper
 
 
-def compile_wrapper(wrapper: dict[str, list[Factor]], path: str = "") -> str:
-    """The regular expression of an element's contents."""
+def parts(wrapper: dict[str, list[Factor]]) -> dict[str, str]:
+    """What the elements are, by path: as the language's tags say, and blocks with a class as their place in the expression says."""
+    out = {p: PARTS[p.rpartition("<")[2][0]] for p in wrapper if p and p.rpartition("<")[2][0] in PARTS}
+
+    def text_of_template(path: str) -> bool:
+        inner = wrapper.get(path, [])
+        return "." in path.rpartition("<")[2] and path.rpartition("<")[2][0] == "B" and len(inner) == 1 and tokens_of(inner[0]) == ["T"]
+
+    for path, expression in wrapper.items():
+        if len(expression) == 1 and len(expression[0][0]) == 1 and expression[0][2] and path.rpartition("<")[2][:1] == "B":
+            item = path + expression[0][0][0][0]
+            if text_of_template(item):
+                out[path], out[item] = "list", "list_item"
+    for path, expression in wrapper.items():
+        for group, _, many in expression:
+            token, must, again = group[0]
+            if many and len(group) > 1 and must and not again and text_of_template(path + token):
+                out.setdefault(path + token, "heading")
+    return out
+
 
-    def one(sym: str) -> str:
-        if sym in COMPOSITE:
-            inner = compile_wrapper(wrapper, path + sym)
-            name = {"H": "heading", "I": "list_item"}.get(sym)
-            return f"(?P<{name}>{sym}{inner}{COMPOSITE[sym]})" if name else f"{sym}{inner}{COMPOSITE[sym]}"
-        return f"(?P<{SLOTS.get(sym, 'text')}>{sym})"
+def compile_wrapper(wrapper: dict[str, list[Factor]]) -> tuple[dict[str, str], str]:
+    """A character for each token, and the regular expression of whole streams."""
+    said = sorted({t for e in wrapper.values() for f in e for t in tokens_of(f)} | set(SLOTS))
+    letter = {t: chr(0xF0000 + k) for k, t in enumerate(said)} | {">": ">"}
+    what = parts(wrapper)
 
-    out = []
-    for syms, must, many in wrapper.get(path, []):
-        if len(syms) == 1:
-            out.append(f"(?:{one(syms)}){'' if must and not many else '?' if not many else '+' if must else '*'}")
-        else:
-            out.append(f"(?:{'|'.join(f'(?:{one(s)})' for s in syms)}){'+' if must else '*'}")
-    return "".join(out)
+    def one(path: str, token: str) -> str:
+        if token in SLOTS:
+            return f"(?P<{SLOTS[token]}>{letter[token]})"
+        name, inner = what.get(path + token), f"{letter[token]}{contents_of(path + token)}>"
+        return f"(?P<{name}>{inner})" if name else f"(?:{inner})"
 
+    # possessive: a token belongs to one factor, so nothing is to be tried again
+    def contents_of(path: str) -> str:
+        out = []
+        for group, must, many in wrapper.get(path, []):
+            inner = "".join(one(path, t) + {(1, 0): "", (1, 1): "++", (0, 0): "?+", (0, 1): "*+"}[int(m), int(a)] for t, m, a in group)
+            out.append(f"(?:{inner}){'++' if many else ''}" if must else f"(?:{inner}){'*+' if many else '?+'}")
+        return "".join(out)
 
-GENERAL_DEPTH = 6
+    return letter, contents_of("")
 
 
-def general_wrapper(depth: int = GENERAL_DEPTH) -> dict[str, list[Factor]]:
-    """Everything in any order, lists nested up to a depth."""
-    out: dict[str, list[Factor]] = {"": [("HLTCF", False, True)], "H": [("TF", False, True)]}
-    for d in range(1, depth + 1):
-        lists = "LI" * (d - 1) + "L"
-        out[lists] = [("ITCFH" if d == 1 else "I", False, True)]
-        out[lists + "I"] = [("TCFH" + ("L" if d < depth else ""), False, True)]
-        out[lists + "IH"] = [("TF", False, True)]
+@lru_cache(4096)
+def compiled(key: str) -> tuple[dict[str, str], regex.Pattern | None, dict[str, str]]:
+    """Characters, pattern and parts of a wrapper given as JSON of path -> expression."""
+    wrapper = {p: read(e) for p, e in json.loads(key)} if key else {}
+    letter, pattern = compile_wrapper(wrapper)
+    return letter, regex.compile(pattern) if wrapper else None, parts(wrapper)
+
+
+def _spans(key: str, stream: list[str]) -> list[tuple[int, int, str]]:
+    """(begin, end, name) of the slots of a stream, by its wrapper."""
+    letter, pattern, what = compiled(key)
+    hit = None
+    if pattern is not None and depth(stream) <= DEEPEST and all(t in letter for t in stream):
+        hit = pattern.fullmatch("".join(letter[t] for t in stream))
+    if hit is not None:
+        return [(a, b, n) for n in pattern.groupindex for a, b in hit.spans(n)]
+    out, open_at = [], []
+    for i, token in enumerate(stream):
+        if token[0] == "<":
+            path = (open_at[-1][1] if len(open_at) <= DEEPEST and open_at else "") + token
+            open_at.append((i, path))
+        elif token == ">":
+            begin, path = open_at.pop()
+            if name := PARTS.get(stream[begin][1]) or what.get(path):
+                out.append((begin, i + 1, name))
+        else:
+            out.append((i, i + 1, SLOTS[token]))
     return out
 
 
-@lru_cache(4096)
-def compiled(key: str) -> regex.Pattern:
-    """The pattern of a wrapper given as ``path=expression`` lines."""
-    wrapper = {p: read(e) for p, _, e in (line.partition("=") for line in key.split("\n"))} if key else general_wrapper()
-    return regex.compile(compile_wrapper(wrapper))
-
-
-def extract(pattern: regex.Pattern, skeleton: str, texts: list[str]) -> list[tuple[str, str]] | None:
-    """(element, text) of a stream by the slots of its wrapper, in document order; None if it doesn't match."""
-    hit = pattern.fullmatch(skeleton)
-    if hit is None:
-        return None
-    at, where = 0, {}
-    for i, c in enumerate(skeleton):
-        if c in "TCF":
-            where[i] = at
-            at += 1
-    groups = pattern.groupindex
-    spans = [(a, -b, n) for n in ("heading", "list_item") if n in groups for a, b in hit.spans(n)]
-    leaves = [(a, 0, n) for n in ("text", "code", "formula") if n in groups for a, _ in hit.spans(n)]
+def extract(key: str, stream: list[str], texts: list[str]) -> list[tuple[str, str]]:
+    """(element, text) of a stream by the slots of its wrapper, in document order."""
+    contents_at = iter(texts)
+    where = {i: next(contents_at) for i, t in enumerate(stream) if t in SLOTS}
     out: list[tuple[str, list[str]]] = []
     stack: list[tuple[int, list[str]]] = []
-    for a, b, name in sorted(spans + leaves):
-        while stack and stack[-1][0] <= a:
+    for begin, end, name in sorted(_spans(key, stream), key=lambda x: (x[0], -x[1])):
+        while stack and stack[-1][0] <= begin:
             stack.pop()
+        if name == "list":
+            continue
         if name in ("heading", "list_item"):
             said: list[str] = []
             out.append((name, said))
-            stack.append((-b, said))
+            stack.append((end, said))
             continue
-        text = texts[where[a]]
+        text = where[begin]
         if name != "text":
             out.append((name, [text]))
         if stack and name != "code":
@@ -199,7 +276,7 @@ def extract(pattern: regex.Pattern, skeleton: str, texts: list[str]) -> list[tup
 
 
 def tokenized(bodies: DataFrame, fetches: DataFrame) -> DataFrame:
-    """``(body_id, site, skeleton, texts)`` of the bodies with markup; ``site`` is host and kind of markup."""
+    """``(body_id, site, stream, texts)`` of the bodies with markup; ``site`` is host and kind of markup."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,40 +284,42 @@ def tokenized(bodies: DataFrame, fetches: DataFrame) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("body_id", "fetch_id", "media_type", "content"))):
                 kind, tokens = lexers.lex(row[3], row[2])
                 if any(c != "T" for c, _ in tokens):
-                    for col, x in zip(cols, (row[0], row[1], kind, "".join(c for c, _ in tokens), [t for _, t in tokens if t is not None])):
+                    stream = [f"<{t}" if c == "<" else c for c, t in tokens]
+                    for col, x in zip(cols, (row[0], row[1], kind, stream, [t for c, t in tokens if c in SLOTS])):
                         col.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["body_id", "fetch_id", "kind", "skeleton", "texts"])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["body_id", "fetch_id", "kind", "stream", "texts"])
 
-    streams = bodies.select("body_id", "fetch_id", "media_type", "content").mapInArrow(run, "body_id bigint, fetch_id bigint, kind string, skeleton string, texts array<string>")
+    streams = bodies.select("body_id", "fetch_id", "media_type", "content").mapInArrow(run, "body_id bigint, fetch_id bigint, kind string, stream array<string>, texts array<string>")
     hosts = fetches.groupBy("fetch_id").agg(F.max(F.lower(F.regexp_extract("source_url", r"^[^:/]+://([^/?#]+)", 1))).alias("host"))
     named = streams.join(hosts, "fetch_id", "left")
-    return named.select("body_id", F.concat_ws(" ", F.coalesce("host", F.lit("")), "kind").alias("site"), "skeleton", "texts")
+    return named.select("body_id", F.concat_ws(" ", F.coalesce("host", F.lit("")), "kind").alias("site"), "stream", "texts")
 
 
 def wrappers(streams: DataFrame) -> DataFrame:
-    """``(site, wrapper)``: per site the lines ``path=expression``; inferred per task, then merged."""
+    """``(site, wrapper)``: per site the JSON of (path, expression) pairs; inferred per task, then merged path by path."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], list[Factor]] = {}
+        folded = lru_cache(1 << 14)(lambda said: fold(list(said)))
         for batch in batches:
-            for site, skeleton in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, kids in contents(skeleton):
-                    new, old = fold(kids), found.get((site, path))
+            for site, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if depth(stream) > DEEPEST:
+                    continue
+                for path, said in contents(stream):
+                    new, old = folded(tuple(said)), found.get((site, path))
                     if old != new:
                         found[site, path] = align(old, new) if old is not None else new
         sites, paths = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()), pa.array([show(e) for e in found.values()], pa.string())], ["site", "path", "expression"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = infer(zip(frame["path"], sorted(frame["expression"])) if frame["path"].nunique() == 1 else sorted(zip(frame["path"], frame["expression"])))
-        return pd.DataFrame([{"site": frame["site"].iloc[0], "wrapper": "\n".join(f"{p}={show(e)}" for p, e in sorted(whole.items()))}])
-
-    parts = streams.select("site", "skeleton").mapInArrow(partial, "site string, path string, expression string").distinct()
-    return parts.groupBy("site").applyInPandas(merge, "site string, wrapper string")
-
+        whole = infer(("", read(e)) for e in sorted(frame["expression"]))
+        return pd.DataFrame([{"site": frame["site"].iloc[0], "path": frame["path"].iloc[0], "expression": show(whole[""])}])
 
-MOST_SITES = 50_000  # wrappers are broadcast up to this many (about 300 bytes each), joined by shuffle beyond
+    partials = streams.select("site", "stream").mapInArrow(partial, "site string, path string, expression string").distinct()
+    merged = partials.groupBy("site", "path").applyInPandas(merge, "site string, path string, expression string")
+    return merged.groupBy("site").agg(F.to_json(F.sort_array(F.collect_list(F.array("path", "expression")))).alias("wrapper"))
 
 
 def elements(spark: SparkSession, bodies: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -249,22 +328,18 @@ def elements(spark: SparkSession, bodies: DataFrame, fetches: DataFrame) -> Data
     tokenized(bodies, fetches).write.parquet(f"{folder}/streams")
     streams = spark.read.parquet(f"{folder}/streams")
     wrappers(streams).write.parquet(f"{folder}/wrappers")
-    known = spark.read.parquet(f"{folder}/wrappers")
-    joined = streams.join(F.broadcast(known) if known.count() <= MOST_SITES else known, "site", "left")
+    joined = streams.join(spark.read.parquet(f"{folder}/wrappers"), "site", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for body, skeleton, texts, wrapper in zip(*(batch.column(c).to_pylist() for c in ("body_id", "skeleton", "texts", "wrapper"))):
-                got = extract(compiled(wrapper or ""), skeleton, texts)
-                if got is None:
-                    got = extract(compiled(""), skeleton, texts) or []
-                rows += [(body, i, name, text) for i, (name, text) in enumerate(got)]
+            for body, stream, texts, wrapper in zip(*(batch.column(c).to_pylist() for c in ("body_id", "stream", "texts", "wrapper"))):
+                rows += [(body, i, name, text) for i, (name, text) in enumerate(extract(wrapper or "", stream, texts))]
             cols = list(zip(*rows)) or [()] * 4
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["body_id", "position", "element", "element_text"])
 
-    return joined.select("body_id", "skeleton", "texts", "wrapper").mapInArrow(run, "body_id bigint, position int, element string, element_text string")
+    return joined.select("body_id", "stream", "texts", "wrapper").mapInArrow(run, "body_id bigint, position int, element string, element_text string")
 
 
 def found(spark: SparkSession, bodies: DataFrame, fetches: DataFrame) -> DataFrame:
