@@ -213,11 +213,12 @@ class Tables:
     def __init__(self, spark: SparkSession, records: DataFrame, id_col: str, xml_col: str, declared: Iterable[str] = ROW_ELEMENTS):
         self.declared = frozenset(declared)
         folder = session.shared_dir(spark, "triples")
-        triples(records, id_col, xml_col).withColumn("delivery", F.monotonically_increasing_id()).write.parquet(folder)
-        written = spark.read.parquet(folder)
-        # of records delivered again one delivery holds; only these few meet the triples
+        triples(records, id_col, xml_col).withColumn("delivery", F.monotonically_increasing_id()).write.parquet(f"{folder}/all")
+        written = spark.read.parquet(f"{folder}/all")
+        # of records delivered again one delivery holds; written, so that the size of their list decides how it meets the triples
         again = written.groupBy("record_id").agg(F.min(F.struct("digest", "delivery")).alias("keep"), F.count("*").alias("n")).where("n > 1")
-        met = written.join(again.select("record_id", "keep.delivery").withColumnRenamed("delivery", "only"), "record_id", "left")
+        again.select("record_id", F.col("keep.delivery").alias("only")).write.parquet(f"{folder}/again")
+        met = written.join(spark.read.parquet(f"{folder}/again"), "record_id", "left")
         self.triples = met.where("only IS NULL OR delivery = only").drop("only", "delivery", "digest")
         self._repeated = written.select(F.explode("repeated").alias("name")).distinct()
         self._groups: frozenset[str] | None = None
