@@ -51,7 +51,7 @@ from lawlake.functions import texts
 VOCABULARY, BUCKETS, DIMENSIONS, NEIGHBOURHOODS = 2000, 2048, 128, 1024
 PAIRS_PER_FILE = 1000  # alignment costs far more than reading, so small files spread it over the cores
 BAND = 0.2
-BLOCK = 32  # sentences of one side compared at once
+BLOCK, DOCUMENTS_AT_ONCE = 32, 200  # sentences of one side compared, and documents counted, at once
 ACCEPT, LEAST = 0.54, 3.0  # least share rendered; least weight of a sentence that proves anything
 SHIFT = 1 << 20  # of codes (combination, i, j)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
@@ -218,18 +218,18 @@ class Tally:
         self.at_once, self.waiting, self.size = at_once, [], 0
         self.keys, self.numbers = np.array([], np.int64), np.array([], np.int64)
 
-    def add(self, combination: int, i: np.ndarray, j: np.ndarray) -> None:
-        """Count each (i, j) once."""
-        at_i, i = np.unique(i, return_inverse=True)
-        at_j, j = np.unique(j, return_inverse=True)
+    def add(self, combination: int, i: np.ndarray, j: np.ndarray, at_i: np.ndarray, at_j: np.ndarray) -> None:
+        """Count each (at_i[i], at_j[j]) once; ``at_i`` and ``at_j`` are ascending."""
         if len(at_i) * len(at_j) <= 4 * len(i) + 1_000_000:
             counts = np.bincount(i * len(at_j) + j, minlength=len(at_i) * len(at_j))
             hit = np.flatnonzero(counts)
-            keys, n = at_i[hit // len(at_j)] * SHIFT + at_j[hit % len(at_j)], counts[hit]
+            n = counts[hit]
         else:
-            keys, n = np.unique(at_i[i] * SHIFT + at_j[j], return_counts=True)
-        self.waiting.append((combination * SHIFT * SHIFT + keys, n))
-        self.size += len(keys)
+            hit, n = np.unique(i * len(at_j) + j, return_counts=True)
+        if len(hit):
+            keys = at_i[hit // len(at_j)] * SHIFT + at_j[hit % len(at_j)]
+            self.waiting.append((combination * SHIFT * SHIFT + keys, n))
+            self.size += len(keys)
         if self.size >= self.at_once:
             self.merge()
 
@@ -274,6 +274,38 @@ def counts(pairs: DataFrame, vocab: Vocabulary) -> DataFrame:
         first = np.searchsorted(distinct, np.arange(len(sent) + 1) * SHIFT)
         return np.concatenate([[0], np.cumsum(n_sent)]), first, distinct % SHIFT, distinct // SHIFT
 
+    none, places = np.zeros(1, np.int64), np.arange(NEIGHBOURHOODS)
+
+    def add_documents(tally: Tally, batch: Batch, la: str, lb: str, docs: list[int], fetches: np.ndarray) -> None:
+        parts = []
+        for k, lang in ((0, la), (1, lb)):
+            doc_first, first, word, at = sentences(batch, k, lang, docs)
+            known, word = np.unique(word, return_inverse=True)  # dense from here on
+            parts.append((doc_first, first, word, at, known))
+            size = np.diff(first)
+            tally.add(code["c", lang, ""], np.repeat(word, size[at]), word[_ragged(first[at], size[at])], known, NEIGHBOURHOODS + known)
+            per_doc = np.diff(doc_first)
+            place = (np.arange(len(first) - 1) - np.repeat(doc_first[:-1], per_doc)) * 6 // np.repeat(per_doc, per_doc)
+            where = (np.repeat(fetches[docs], per_doc).astype(np.uint64) * np.uint64(6) + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+            tally.add(code["c", lang, ""], word, (where[at] % np.uint64(NEIGHBOURHOODS)).astype(np.int64), known, places)
+        for (lang, mine), (other, theirs) in (((la, parts[0]), (lb, parts[1])), ((lb, parts[1]), (la, parts[0]))):
+            (doc_a, first_a, word_a, at_a, known_a), (doc_b, first_b, word_b, _, known_b) = mine, theirs
+            n_a, n_b = np.diff(doc_a), np.diff(doc_b)
+            doc = np.repeat(np.arange(len(docs)), n_a)
+            middle = (np.arange(len(doc)) - doc_a[doc] + 0.5) / n_a[doc]
+            lo = np.clip(np.ceil((middle - BAND) * n_b[doc] - 0.5), 0, n_b[doc]).astype(np.int64) + doc_b[doc]
+            hi = np.clip(np.floor((middle + BAND) * n_b[doc] - 0.5) + 1, 0, n_b[doc]).astype(np.int64) + doc_b[doc]
+            hi = np.maximum(lo, hi)
+            length = np.where(np.diff(first_a) > 0, first_b[hi] - first_b[lo], 0)
+            near = np.unique(np.repeat(np.arange(len(doc)), length) * SHIFT + word_b[_ragged(first_b[lo], length)])
+            first_near = np.searchsorted(near, np.arange(len(doc) + 1) * SHIFT)
+            there, size = near % SHIFT, np.diff(first_near)
+            tally.add(code["p", lang, other], np.repeat(word_a, size[at_a]), there[_ragged(first_near[at_a], size[at_a])], known_a, known_b)
+            seen, looked = word_a[size[at_a] > 0], int((size > 0).sum())
+            tally.add(code["o", lang, other], seen, np.zeros_like(seen), known_a, none)
+            tally.add(code["b", lang, other], there, np.zeros_like(there), known_b, none)
+            tally.add(code["n", lang, other], np.zeros(looked, np.int64), np.zeros(looked, np.int64), none, none)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for record_batch in batches:
@@ -283,33 +315,9 @@ def counts(pairs: DataFrame, vocab: Vocabulary) -> DataFrame:
             for doc, pair in enumerate(batch.languages):
                 if pair is not None:
                     groups.setdefault(pair, []).append(doc)
-            for (la, lb), docs in groups.items():
-                parts = [sentences(batch, k, lang, docs) for k, lang in ((0, la), (1, lb))]
-                for lang, (doc_first, first, word, at) in zip((la, lb), parts):
-                    size = np.diff(first)
-                    tally.add(code["c", lang, ""], np.repeat(word, size[at]), NEIGHBOURHOODS + word[_ragged(first[at], size[at])])
-                    per_doc = np.diff(doc_first)
-                    place = (np.arange(len(first) - 1) - np.repeat(doc_first[:-1], per_doc)) * 6 // np.repeat(per_doc, per_doc)
-                    where = (np.repeat(fetches[docs], per_doc).astype(np.uint64) * np.uint64(6) + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                    tally.add(code["c", lang, ""], word, (where[at] % np.uint64(NEIGHBOURHOODS)).astype(np.int64))
-                for (lang, mine), (other, theirs) in (((la, parts[0]), (lb, parts[1])), ((lb, parts[1]), (la, parts[0]))):
-                    (doc_a, first_a, word_a, at_a), (doc_b, first_b, word_b, _) = mine, theirs
-                    n_a, n_b = np.diff(doc_a), np.diff(doc_b)
-                    doc = np.repeat(np.arange(len(docs)), n_a)
-                    middle = (np.arange(len(doc)) - doc_a[doc] + 0.5) / n_a[doc]
-                    lo = np.clip(np.ceil((middle - BAND) * n_b[doc] - 0.5), 0, n_b[doc]).astype(np.int64) + doc_b[doc]
-                    hi = np.clip(np.floor((middle + BAND) * n_b[doc] - 0.5) + 1, 0, n_b[doc]).astype(np.int64) + doc_b[doc]
-                    hi = np.maximum(lo, hi)
-                    length = np.where(np.diff(first_a) > 0, first_b[hi] - first_b[lo], 0)
-                    near = np.unique(np.repeat(np.arange(len(doc)), length) * SHIFT + word_b[_ragged(first_b[lo], length)])
-                    first_near = np.searchsorted(near, np.arange(len(doc) + 1) * SHIFT)
-                    there, size = near % SHIFT, np.diff(first_near)
-                    tally.add(code["p", lang, other], np.repeat(word_a, size[at_a]), there[_ragged(first_near[at_a], size[at_a])])
-                    looked = size[at_a] > 0
-                    zero = np.zeros(len(there) + len(at_a) + len(doc), np.int64)
-                    tally.add(code["o", lang, other], word_a[looked], zero[: looked.sum()])
-                    tally.add(code["b", lang, other], there, zero[: len(there)])
-                    tally.add(code["n", lang, other], zero[: (size > 0).sum()], zero[: (size > 0).sum()])
+            for (la, lb), all_docs in groups.items():
+                for start in range(0, len(all_docs), DOCUMENTS_AT_ONCE):
+                    add_documents(tally, batch, la, lb, all_docs[start : start + DOCUMENTS_AT_ONCE], fetches)
         yield from tally.batches()
 
     made = pairs.select("fetch_id", "a_lang", "b_lang", "a", "b").mapInArrow(run, "k bigint, n bigint")

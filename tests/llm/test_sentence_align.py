@@ -141,8 +141,8 @@ def test_two_thousand_sentences_with_moved_and_left_out_spans():
 def test_tally_counts():
     t = a.Tally(at_once=10)
     for k in range(100):
-        t.add(0, np.array([k % 3]), np.array([k % 5]))
-        t.add(1, np.array([1, 1]), np.array([2, 70_000]))
+        t.add(0, np.array([k % 3]), np.array([k % 5]), np.arange(3), np.arange(5))
+        t.add(1, np.array([1, 1]), np.array([0, 1]), np.array([0, 1]), np.array([2, 70_000]))
     rows = a._decoded(pd.concat([b.to_pandas() for b in t.batches(4)]))
     assert rows["n"].sum() == 300 and rows.set_index(["c", "i", "j"])["n"][1, 1, 2] == 100
 
