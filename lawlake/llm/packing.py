@@ -105,7 +105,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, window: int = WINDOW) -> Da
         return pd.DataFrame({"container": [f"{w}-{c}" for w, c in zip(frame["w"], numbers)], "doc_id": frame["doc_id"], "piece_no": frame["piece_no"], "start": frame["start"], "n_tokens": frame["n_tokens"]})
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    return cut.groupBy("w").applyInPandas(fill, f"container string, doc_id {kind}, piece_no int, start int, n_tokens int")
+    # a window takes seconds and few bytes, so their number, not their size, says how many tasks there are
+    return cut.repartition(windows, "w").groupBy("w").applyInPandas(fill, f"container string, doc_id {kind}, piece_no int, start int, n_tokens int")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -110,6 +110,9 @@ def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabula
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, raw binary, letters string, starts array<int>")
 
 
+ENDS_AT_ONCE = 256  # pieces of a text whose ends are summed in one go
+
+
 def piece_pattern(limit: int, overlap: int) -> str:
     """The extraction pattern: the first piece up to the limit, later ones up to the limit less the overlap."""
 
@@ -128,7 +131,12 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: s
         raise ValueError("the overlap must be smaller than the limit")
     lettered = letters_of(docs, limit, id_col, text_col, vocabulary)
     runs = lettered.withColumn("runs", F.regexp_extract_all("letters", F.lit(piece_pattern(limit, overlap)), F.lit(0)))
-    ends = F.aggregate("runs", F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(r))))
+    # running sums in blocks, then of the blocks: appending to one array would copy it for every piece
+    adding = lambda values, size: F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("runs") - 1) / ENDS_AT_ONCE).cast("int")), lambda b: adding(F.slice("runs", b * ENDS_AT_ONCE + 1, ENDS_AT_ONCE), F.length))
+    bases = adding(F.col("blocks"), lambda x: F.element_at(x, -1))
+    moved = F.transform("blocks", lambda x, i: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda v: v + F.element_at("bases", i + 1)))
+    ends = F.concat(F.array(F.lit(0)), F.flatten(moved))
 
     def byte_at(token: Column) -> Column:
         return F.element_at("starts", token + 1)
@@ -150,5 +158,5 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: s
 
     # pieces are made inside the row, so the text isn't copied for each of them; the outer form, as for the
     # inner one the optimizer would evaluate all of it once more in a filter (no row is without pieces)
-    cut = runs.withColumn("ends", ends).withColumn("firsts", F.transform("runs", first_token)).select("doc_id", F.transform("runs", piece).alias("pieces"))
+    cut = runs.withColumn("blocks", blocks).withColumn("bases", bases).withColumn("ends", ends).withColumn("firsts", F.transform("runs", first_token)).select("doc_id", F.transform("runs", piece).alias("pieces"))
     return cut.select("doc_id", F.inline_outer("pieces"))
