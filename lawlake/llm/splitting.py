@@ -88,7 +88,7 @@ class Letters:
 
 
 def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabulary: str | None) -> DataFrame:
-    """``(doc_id, raw, letters, starts)`` of the texts above the limit; ``raw`` is the text in UTF-8."""
+    """``(doc_id, raw, letters, starts)`` of the texts above the limit; ``raw`` is the text in UTF-8, in chunks."""
     path = vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,13 +104,13 @@ def letters_of(docs: DataFrame, limit: int, id_col: str, text_col: str, vocabula
             cols = list(zip(*rows)) or [(), (), (), ()]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in cols[3]])]).astype(np.int32)
             starts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(cols[3]) if cols[3] else np.array([], np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.string()), starts], ["doc_id", "raw", "letters", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), pa.array([[raw[k : k + CHUNK] for k in range(0, len(raw), CHUNK)] for raw in cols[1]], pa.list_(pa.binary())), pa.array(cols[2], pa.string()), starts], ["doc_id", "raw", "letters", "starts"])
 
     doc = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, raw binary, letters string, starts array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {doc}, raw array<binary>, letters string, starts array<int>")
 
 
-ENDS_AT_ONCE = 256  # pieces of a text whose ends are summed in one go
+ENDS_AT_ONCE, CHUNK = 256, 16_384  # pieces of a text whose ends are summed in one go; bytes of a chunk of a text
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
@@ -135,12 +135,19 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: s
     adding = lambda values, size: F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + size(x))))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("runs") - 1) / ENDS_AT_ONCE).cast("int")), lambda b: adding(F.slice("runs", b * ENDS_AT_ONCE + 1, ENDS_AT_ONCE), F.length))
     bases = adding(F.col("blocks"), lambda x: F.element_at(x, -1))
-    moved = F.transform("blocks", lambda x, i: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda v: v + F.element_at("bases", i + 1)))
+    moved = F.zip_with("blocks", F.slice("bases", F.lit(1), F.size("blocks")), lambda x, base: F.transform(F.slice(x, F.lit(2), F.size(x) - 1), lambda v: v + base))
     ends = F.concat(F.array(F.lit(0)), F.flatten(moved))
 
     def byte_at(token: Column) -> Column:
         return F.element_at("starts", token + 1)
 
+    def bytes_of(start: Column, end: Column) -> Column:
+        # of the chunks they are in: reading the whole text for each piece would copy it
+        first = F.floor(start / CHUNK).cast("int")
+        chunks = F.slice("raw", first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+        joined = F.when(F.size(chunks) == 1, F.element_at(chunks, 1)).otherwise(F.aggregate(chunks, F.lit(b""), lambda a, c: F.concat(a, c)))
+        return F.substring(joined, start - first * CHUNK + 1, end - start)
+
     def first_token(run: Column, i: Column) -> Column:
         # the overlap begins at a character: past tokens that begin inside one
         begin, before = F.element_at("ends", i + 1), F.element_at("runs", i)
@@ -153,7 +160,7 @@ def split(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, id_col: s
         return F.struct(
             (i + 1).alias("piece_no"), byte_at(start).alias("byte_start"), byte_at(end).alias("byte_end"),
             (end - start).alias("n_tokens"), (begin - start).alias("overlap_tokens"), F.right(run, F.lit(1)).alias("boundary"),
-            F.substring("raw", byte_at(start) + 1, byte_at(end) - byte_at(start)).cast("string").alias("piece"),
+            bytes_of(byte_at(start), byte_at(end)).cast("string").alias("piece"),
         )
 
     # pieces are made inside the row, so the text isn't copied for each of them; the outer form, as for the

@@ -9,7 +9,7 @@ SCHEMA = "doc_id bigint, text string, pieces string"
 def texts():
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(1, 9)))
-    out = [None, "", "short", "word " * 64, "x" * 3000, "中" * 900, "a😀é" * 500, "\n" * 700, " " * 3000, "no stop " * 400]
+    out = [None, "", "short", "word " * 64, "x" * 3000, "中" * 900, "a😀é" * 500, "\n" * 700, " " * 3000, "no stop " * 400, "It holds. Ää " * 4000]
     for _ in range(25):
         out.append("".join(word() + rnd.choice([" ", " ", " ", ", ", ". ", ".\n", "\n\n", "! ", "。", "\n \n"]) for _ in range(rnd.randrange(20, 900))))
     return out
