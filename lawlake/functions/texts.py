@@ -29,7 +29,6 @@ CARDINALS = {w: n for n, w in enumerate("zero one two three four five six seven
 }
 SCALES = {"hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 KANJI = {c: n for n, c in enumerate("〇一二三四五六七八九")}
-KANJI_UNITS = {"十": 10, "百": 100, "千": 1000, "万": 10_000}
 
 
 def language(code: Column) -> Column:
@@ -46,6 +45,10 @@ def fold_digits(text: Column) -> Column:
 
 
 def stem(token: str, lang: str | None) -> str:
+    if lang == "ara":
+        for pattern, kept in ARABIC_STEPS:
+            token = regex.sub(pattern, kept.replace("$", "\\"), token)
+        return token
     for suffix in SUFFIXES.get(lang or "", ()):
         if token.endswith(suffix) and len(token) - len(suffix) >= 3:
             return token[: -len(suffix)]
@@ -56,6 +59,8 @@ def tokenise(text: str | None, lang: str | None = None) -> list[str]:
     """NFKC, ASCII digits, runs of letters, digits and marks, case folded and stemmed; order and repeats kept."""
     folded = unicodedata.normalize("NFKC", text or "")
     folded = "".join(str(unicodedata.digit(c)) if c.isdigit() and not c.isascii() and unicodedata.digit(c, None) is not None else c for c in folded)
+    if lang == "ara":
+        folded = regex.sub(ARABIC_MARKS, "", folded.translate(str.maketrans(ARABIC_FOLDS)))
     return [stem(t.casefold(), lang) for t in _RUN.findall(folded)]
 
 
@@ -83,22 +88,12 @@ def cardinal(words: str | None) -> int | None:
 
 
 def kanji_number(text: str | None) -> int | None:
-    """The number that Chinese numerals spell, by position or by units."""
-    if not text or any(c not in KANJI and c not in KANJI_UNITS and c != "元" for c in text):
+    """The number below 100 that Chinese numerals spell by units (一, 十, 二十三); None for anything else, 二三 and 十十 included."""
+    m = regex.fullmatch("(?<tens>[一二三四五六七八九〇]?)十(?<units>[一二三四五六七八九〇]?)|(?<units>[一二三四五六七八九〇])", text or "")
+    if m is None:
         return None
-    if text == "元":
-        return 1
-    if not any(c in KANJI_UNITS for c in text):
-        return int("".join(str(KANJI[c]) for c in text))
-    total = section = digit = 0
-    for c in text:
-        if c in KANJI:
-            digit = KANJI[c]
-        elif c == "万":
-            total, section, digit = total + (section + digit) * 10_000, 0, 0
-        else:
-            section, digit = section + (digit or 1) * KANJI_UNITS[c], 0
-    return total + section + digit
+    digit = lambda c, none: KANJI[c] if c else none
+    return digit(m["tens"], 1) * 10 + digit(m["units"], 0) if "十" in text else KANJI[text]
 
 
 def presentation_form_share(text: Column, least: int = 40) -> Column:
@@ -126,24 +121,28 @@ def grounding(new: Column, source: Column) -> Column:
 ARABIC_FOLDS = {"أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ؤ": "و", "ة": "ه", "ـ": ""}
 ARABIC_ARTICLES = ["وال", "بال", "كال", "فال", "ال", "لل"]
 ARABIC_SUFFIXES = ["ها", "ان", "ات", "ون", "ين", "يه", "ية", "ه", "ة", "ي"]
+ARABIC_MARKS = "[\u0640\u064b-\u0652\u0670]"
 ORDINALS = {w: n for n, w in enumerate("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth".split(), 1)}
 
 
 def fold_arabic(text: Column) -> Column:
     """Arabic orthography folded for matching: hamza forms, final forms, tatweel and vowel marks."""
     kept = {a: b for a, b in ARABIC_FOLDS.items() if b}
-    return F.regexp_replace(F.translate(text, "".join(kept), "".join(kept.values())), "[ـً-ْٰ]", "")
-
-
-def stem_arabic(token: str) -> str:
-    """A light stem: one conjunction, one article, one suffix; at least two letters stay."""
-    for a in ARABIC_ARTICLES:
-        if token.startswith(a) and len(token) - len(a) >= 3:
-            token = token[len(a) :]
-            break
-    for s in ARABIC_SUFFIXES:
-        if token.endswith(s) and len(token) - len(s) >= 3:
-            return token[: -len(s)]
+    return F.regexp_replace(F.translate(text, "".join(kept), "".join(kept.values())), ARABIC_MARKS, "")
+
+
+# conjunction, article and ending of a light stem; at least three letters stay without the conjunction, two without the others
+ARABIC_STEPS = [
+    ("^و(?!ال)(?=.{3})", ""),
+    (f"^(?:{'|'.join(ARABIC_ARTICLES)})(?=.{{2}})", ""),
+    (f"^(.{{2,}}?)(?:{'|'.join(ARABIC_SUFFIXES)})$", "$1"),
+]
+
+
+def stem_arabic(token: Column) -> Column:
+    """A light stem: one conjunction, one article, one suffix."""
+    for pattern, kept in ARABIC_STEPS:
+        token = F.regexp_replace(token, pattern, kept)
     return token
 
 

@@ -78,14 +78,17 @@ def census(anchored: DataFrame) -> DataFrame:
 
 
 def windows(anchored: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int = 6000, overlap: int = 400) -> DataFrame:
-    """``(id, window_no, start, stop)``: windows of at most ``size`` characters, begun at anchors where one lies in their last half."""
-    joined = anchored.join(docs.select(id_col, F.length(text_col).alias("n")), id_col).where("n > 0")
-    starts = F.transform(F.filter("anchors", lambda a: F.lit(True)), lambda a: a["pos"])
-    count = F.ceil(F.greatest(F.col("n") - overlap, F.lit(1)) / (size - overlap)).cast("int")
-    w = joined.select(id_col, "n", starts.alias("at"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    begin = F.col("i") * (size - overlap)
-    snapped = F.array_max(F.filter("at", lambda p: (p <= begin) & (p > begin - overlap)))
-    return w.select(id_col, (F.col("i") + 1).alias("window_no"), F.coalesce(snapped, begin).cast("int").alias("start"), F.least(begin + size, F.col("n")).cast("int").alias("stop"))
+    """``(id, window_no, start, stop)``: windows of at most ``size`` characters, begun at the anchor within the overlap before them, if there is one."""
+    length, i, at = F.col("__n"), F.col("__i"), "__at"
+    joined = anchored.select(id_col, F.transform("anchors", lambda a: a["pos"]).alias(at)).join(docs.select(id_col, F.length(text_col).alias("__n")), id_col).where(length > 0)
+    last = F.ceil(F.greatest(length - overlap, F.lit(1)) / (size - overlap)).cast("int") - 1
+    w = joined.select(id_col, "__n", at, F.explode(F.sequence(F.lit(0), last)).alias("__i"))
+    begin = i * (size - overlap)
+    # the next window begins before this one's end even so; the last one isn't moved off the end of the text
+    near = F.array_max(F.filter(at, lambda p: (p <= begin) & (p > begin - overlap)))
+    start = F.when((i < last) | (near + size >= length), near)
+    placed = w.withColumn("__start", F.coalesce(start, begin).cast("int"))
+    return placed.select(id_col, (i + 1).alias("window_no"), F.col("__start").alias("start"), F.least(F.col("__start") + size, length).cast("int").alias("stop"))
 
 
 def verbatim(text: str | None) -> str:

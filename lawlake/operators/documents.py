@@ -22,10 +22,14 @@ from lawlake.functions import eids
 # Provisions, containers and the parents each tag may stand under.
 UNITS = ("part", "book", "title", "chapter", "section", "article", "subsection", "paragraph", "subparagraph", "point", "hcontainer")
 CONTAINERS = ("part", "book", "title", "chapter")
-NODES = "version_id string, pos int, parent_pos int, depth int, tag string, eid string, wid string, num string, heading string, text string, href string, quoted boolean"
+NODES = "version_id string, pos int, parent_pos int, depth int, tag string, eid string, wid string, num string, heading string, text string, href string, quoted boolean, rows int, columns int"
 _KEPT = frozenset(UNITS) | {"table", "tr", "td", "th", "ref", "attachment", "quotedStructure"}
 
 
+def _span(said: str | None) -> int:
+    return int(said) if said and said.isascii() and said.isdigit() and 0 < int(said) <= 1000 else 1
+
+
 def parse_nodes(xml: str | None) -> list[dict] | None:
     """The nodes of a document in order; None if it isn't well-formed."""
     if xml is None:
@@ -46,6 +50,7 @@ def parse_nodes(xml: str | None) -> list[dict] | None:
         row = {
             "pos": len(rows) + 1, "parent_pos": holder["pos"] if holder else 0, "depth": holder["depth"] + 1 if holder else 1, "tag": tag, "eid": get("eId"), "wid": get("wId") or get("eId"),
             "num": None, "heading": None, "text": "", "href": get("href"), "quoted": "quotedStructure" in tags[:-1] or "meta" in tags,
+            "rows": _span(get("rowspan")), "columns": _span(get("colspan")),
         }
         rows.append(row)
         stack.append(row)
@@ -84,7 +89,7 @@ def parse_nodes(xml: str | None) -> list[dict] | None:
 
 def nodes(versions: DataFrame, id_col: str = "id", xml_col: str = "akn_xml") -> DataFrame:
     names = [c.strip().split()[0] for c in NODES.split(",")]
-    kinds = {"pos": pa.int32(), "parent_pos": pa.int32(), "depth": pa.int32(), "quoted": pa.bool_()}
+    kinds = {"pos": pa.int32(), "parent_pos": pa.int32(), "depth": pa.int32(), "quoted": pa.bool_(), "rows": pa.int32(), "columns": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,31 +281,59 @@ def structure_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change IS NOT NULL").select("wid", "change")
 
 
-def resolve_grid(rows: list[list[dict]]) -> list[list[str]]:
-    """Cells with spans laid out on a grid; a spanned place repeats its cell's text."""
-    grid: dict[tuple[int, int], str] = {}
+def resolve_grid(rows: list[list[dict]]) -> list[list[dict | None]]:
+    """Cells with spans laid out on a grid: every place holds the cell that covers it."""
+    grid: dict[tuple[int, int], dict] = {}
     for r, cells in enumerate(rows):
         c = 0
         for cell in cells:
             while (r, c) in grid:
                 c += 1
-            for i in range(max(1, cell.get("rowspan", 1))):
-                for j in range(max(1, cell.get("colspan", 1))):
-                    grid[r + i, c + j] = cell["text"]
-            c += max(1, cell.get("colspan", 1))
-    width = max((c for _, c in grid), default=-1) + 1
-    return [[grid.get((r, c), "") for c in range(width)] for r in range(len(rows))]
+            for i in range(cell.get("rowspan") or 1):
+                for k in range(cell.get("colspan") or 1):
+                    grid.setdefault((r + i, c + k), cell)
+            c += cell.get("colspan") or 1
+    width = max((c for r, c in grid if r < len(rows)), default=-1) + 1
+    return [[grid.get((r, c)) for c in range(width)] for r in range(len(rows))]
+
+
+CELL = "row_no int, column_no int, label string, text string"
 
 
 def table_rows(all_nodes: DataFrame) -> DataFrame:
-    """``(version_id, table_pos, row_no, column_no, label, text)``: the cells of every table with the header of their column."""
+    """``(version_id, table_pos, row_no, column_no, label, text)``: every place of every table's grid with the headers of its column.
+
+    A cell that spans rows or columns stands at each place it covers; headers above one another are joined, the
+    outermost first, each once. A table is laid out in one task.
+    """
     rows = all_nodes.where("tag = 'tr'").select("version_id", F.col("pos").alias("row_pos"), F.col("parent_pos").alias("table_pos"))
-    cells = all_nodes.where("tag IN ('td', 'th')").select("version_id", F.col("parent_pos").alias("row_pos"), "pos", "tag", "text")
+    cells = all_nodes.where("tag IN ('td', 'th')").select("version_id", F.col("parent_pos").alias("row_pos"), "pos", "tag", "text", "rows", "columns")
     joined = cells.join(rows, ["version_id", "row_pos"])
-    by_row = W.partitionBy("version_id", "table_pos", "row_pos").orderBy("pos")
-    placed = joined.withColumn("row_no", F.dense_rank().over(W.partitionBy("version_id", "table_pos").orderBy("row_pos"))).withColumn("column_no", F.row_number().over(by_row))
-    heads = placed.where("tag = 'th'").groupBy("version_id", "table_pos", "column_no").agg(F.min_by("text", "row_no").alias("label"))
-    return placed.where("tag = 'td'").join(heads, ["version_id", "table_pos", "column_no"], "left").select("version_id", "table_pos", "row_no", "column_no", "label", "text")
+    tables = joined.groupBy("version_id", "table_pos").agg(F.sort_array(F.collect_list(F.struct("row_pos", "pos", "tag", "text", "rows", "columns"))).alias("cells"))
+    fields = [f.split() for f in CELL.split(", ")]
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[dict]] = []
+            for said in batch.column(2).to_pylist():
+                lines: dict[int, list[dict]] = {}
+                for cell in said:
+                    lines.setdefault(cell["row_pos"], []).append({**cell, "rowspan": cell["rows"], "colspan": cell["columns"]})
+                places, heads = [], {}
+                for r, line in enumerate(resolve_grid(list(lines.values())), 1):
+                    for c, cell in enumerate(line, 1):
+                        if cell is not None and cell["tag"] == "th":
+                            above = heads.setdefault(c, [])
+                            if cell["text"] and cell["text"] not in above:
+                                above.append(cell["text"])
+                        elif cell is not None:
+                            places.append({"row_no": r, "column_no": c, "label": " / ".join(heads[c]) if heads.get(c) else None, "text": cell["text"]})
+                out.append(places)
+            kind = pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(kind))], ["version_id", "table_pos", "places"])
+
+    placed = tables.mapInArrow(lay_out, f"version_id string, table_pos int, places array<struct<{','.join(f'{n}:{t}' for n, t in fields)}>>")
+    return placed.select("version_id", "table_pos", F.inline("places"))
 
 
 def marked_scope(units: DataFrame, marks: DataFrame) -> DataFrame:

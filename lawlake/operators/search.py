@@ -78,16 +78,21 @@ def trigrams(c: Column) -> Column:
 
 
 def expand_terms(query: DataFrame, terms: DataFrame, least: float = 0.5, most: int = 6) -> DataFrame:
-    """``(token, term, similarity)``: up to ``most`` terms similar to each query token by shared trigrams (Jaccard).
+    """``(token, term, similarity)``: up to ``most`` terms of which each query token looks like a part.
 
-    An equi-join on trigrams; only pairs that share one are ever made.
+    Word similarity: of all stretches of the term's trigrams, the best share that the stretch and the token's
+    trigrams have in common. The best stretch begins and ends with a shared trigram. An equi-join on trigrams;
+    only pairs that share one are ever made. Ties: the term in more documents (``ndoc``), then by name.
     """
     q = query.where(F.length("token") >= 3).select("token", F.explode(trigrams(F.col("token"))).alias("g"), F.size(trigrams(F.col("token"))).alias("nq"))
-    t = terms.where(F.length("term") >= 3).select("term", F.explode(trigrams(F.col("term"))).alias("g"), F.size(trigrams(F.col("term"))).alias("nt"))
-    pairs = q.join(t, "g").groupBy("token", "term", "nq", "nt").agg(F.count("*").alias("shared"))
-    sim = F.round(F.col("shared") / (F.col("nq") + F.col("nt") - F.col("shared")), 6)
-    near = pairs.withColumn("similarity", sim).where((F.col("similarity") >= least) & (F.col("token") != F.col("term")))
-    w = W.partitionBy("token").orderBy(F.desc("similarity"), "term")
+    t = terms.select("term", "ndoc", F.posexplode(trigrams(F.col("term"))).alias("at", "g"))
+    pairs = q.join(t, "g").groupBy("token", "term", "nq", "ndoc").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # with k + 1 shared trigrams over a stretch of n there are nq + n - (k + 1) in all
+    share = lambda i, j: (j - i + 1) / (F.col("nq") + F.element_at("at", j) - F.element_at("at", i) + 1 - (j - i + 1))
+    places = F.sequence(F.lit(1), F.size("at"))
+    best = F.array_max(F.transform(places, lambda i: F.array_max(F.transform(F.filter(places, lambda j: j >= i), lambda j: share(i, j)))))
+    near = pairs.withColumn("similarity", F.round(best, 6)).where((F.col("similarity") >= least) & (F.col("token") != F.col("term")))
+    w = W.partitionBy("token").orderBy(F.desc("similarity"), F.desc("ndoc"), "term")
     return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("token", "term", "similarity")
 
 

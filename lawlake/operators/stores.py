@@ -68,10 +68,21 @@ MOVES = {"queued": ["running", "cancelled", "failed"], "running": ["succeeded",
 
 
 def run_states(events: DataFrame, run: str, state: str, order: str) -> DataFrame:
-    """``(run, state, since)`` after all logged events: the first terminal state stays, else the last event holds."""
-    terminal = F.col(state).isin("succeeded", "failed", "cancelled")
-    g = events.groupBy(run).agg(F.min(F.when(terminal, F.struct(order, state))).alias("end"), F.max(F.struct(order, state)).alias("last"))
-    return g.select(run, F.coalesce(f"end.{state}", f"last.{state}").alias(state), F.coalesce(f"end.{order}", f"last.{order}").alias("since"))
+    """``(run, state, since)`` after the logged events of each run in turn: a move that isn't allowed changes nothing.
+
+    A run begins as queued or running; a terminal state stays. A run all of whose events are refused is left out.
+    """
+    allowed = F.create_map(*[x for a, to in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, to)))])
+    first = F.array(*[F.lit(s) for s in MOVES])
+    begin = F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast(events.schema[order].dataType).alias("t"))
+
+    def move(now: Column, e: Column) -> Column:
+        may = F.array_contains(F.when(now["s"].isNull(), first).otherwise(F.coalesce(F.try_element_at(allowed, F.coalesce(now["s"], F.lit(""))), F.array().cast("array<string>"))), e[state])
+        return F.when(may, F.struct(e[state].alias("s"), e[order].alias("t"))).otherwise(now)
+
+    known = events.where(F.col(state).isNotNull() & F.col(order).isNotNull())
+    g = known.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(order, state))).alias("es")).select(run, F.aggregate("es", begin, move).alias("x"))
+    return g.where("x.s IS NOT NULL").select(run, F.col("x.s").alias(state), F.col("x.t").alias("since"))
 
 
 def claim_indexes(children: DataFrame, parent: str, order: list[str]) -> DataFrame:

@@ -85,13 +85,15 @@ def lexicon_dead_terms(spark, d):
 _TRI = "list_distinct([substr('  ' || {0} || ' ', i, 3) FOR i IN range(1, length({0}) + 2)])"
 
 
-@sql(f"""+ terms AS (SELECT DISTINCT unnest({SQL_TOKENS.format('text')}) AS term FROM provisions), q AS (SELECT DISTINCT unnest({SQL_TOKENS.format('title')}) AS token FROM laws),
+@sql(f"""+ terms AS (SELECT term, count(*) AS ndoc FROM (SELECT id, unnest(list_distinct({SQL_TOKENS.format('text')})) AS term FROM provisions) GROUP BY term), q AS (SELECT DISTINCT unnest({SQL_TOKENS.format('title')}) AS token FROM laws),
 qt AS (SELECT token, unnest({_TRI.format('token')}) AS g, len({_TRI.format('token')}) AS nq FROM q WHERE length(token) >= 3),
-tt AS (SELECT term, unnest({_TRI.format('term')}) AS g, len({_TRI.format('term')}) AS nt FROM terms WHERE length(term) >= 3),
-p AS (SELECT token, term, round(count(*) / (nq + nt - count(*)), 6) AS similarity FROM qt JOIN tt USING (g) GROUP BY token, term, nq, nt)
-SELECT token, term, similarity FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY similarity DESC, term) AS rn FROM p WHERE similarity >= 0.5 AND token <> term) WHERE rn <= 6""", "provisions", "laws")
+raw AS (SELECT term, ndoc, unnest(range(1, length(term) + 2)) AS i FROM terms),
+tt AS (SELECT term, ndoc, g, row_number() OVER (PARTITION BY term ORDER BY i) AS pos FROM (SELECT term, ndoc, substr('  ' || term || ' ', i, 3) AS g, min(i) AS i FROM raw GROUP BY 1, 2, 3)),
+p AS (SELECT token, term, nq, ndoc, list_sort(list(pos)) AS a FROM qt JOIN tt USING (g) GROUP BY token, term, nq, ndoc),
+s AS (SELECT token, term, ndoc, round(list_max(list_transform(range(1, len(a) + 1), lambda i: list_max(list_transform(range(i, len(a) + 1), lambda j: (j - i + 1) / (nq + a[j] - a[i] + 1 - (j - i + 1)))))), 6) AS similarity FROM p)
+SELECT token, term, similarity FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY similarity DESC, ndoc DESC, term) AS rn FROM s WHERE similarity >= 0.5 AND token <> term) WHERE rn <= 6""", "provisions", "laws")
 def lexicon_expand(spark, d):
-    """Spelling neighbours in the provisions' lexicon of every term of law titles."""
+    """Words of the provisions' lexicon of which a word of law titles looks like a part."""
     terms = search.lexicon(once(spark, d, "provisions"), "id", "text", 1 << 20)
     named = search.lexicon(once(spark, d, "laws"), "id", "title", 1 << 20).select(F.col("term").alias("token"))
     return search.expand_terms(named, terms)
@@ -348,8 +350,8 @@ def legibility(spark, d):
     return rated.withColumn("band", quality.band(F.col("rate")))
 
 
-@sql("""+ t AS (SELECT id, trim(coalesce(text, ''), ' ') AS t, akn_eid FROM provisions), w AS (SELECT *, regexp_matches(lower(t), '\\b(shall|must|may|should|is|are|will|has|have|be|means)\\b') AS op, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n, length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) AS an, length(regexp_replace(t, '[^0-9]', '', 'g')) AS dg FROM t)
-SELECT id, CASE WHEN t = '' THEN NULL WHEN regexp_matches(lower(t), '^\\[[^\\]]*(not transcribed|illegible|omitted|repealed)[^\\]]*\\]$') THEN 'placeholder' WHEN n < 25 AND NOT op AND regexp_matches(t, '\\|.+\\||\\.{4,}|_{3,}|☐') THEN 'table' WHEN starts_with(akn_eid, 'att_') AND NOT op AND an > 0 AND dg > an * 0.3 THEN 'digits' END AS reason FROM w""", "provisions")
+@sql("""+ t AS (SELECT id, trim(coalesce(text, ''), ' ') AS t, akn_eid FROM provisions), w AS (SELECT *, regexp_matches(lower(t), '\\b(shall|must|may|should|is|are|will|has|have|be|means)\\b') AS op, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS n, length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) AS an, length(regexp_replace(t, '[^\\p{Nd}]', '', 'g')) AS dg FROM t)
+SELECT id, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '(?i)^\\s*\\[[^\\]\\n]{0,200} not transcribed: [^\\]\\n]{0,250}\\]\\s*$') THEN 'placeholder' WHEN n < 25 AND NOT op AND regexp_matches(t, '\\|.+\\||\\.{4,}|_{3,}|☐') THEN 'table' WHEN starts_with(akn_eid, 'att_') AND NOT op AND an > 0 AND dg > an * 0.3 THEN 'digits' END AS reason FROM w""", "provisions")
 def exclusion_reason(spark, d):
     return once(spark, d, "provisions").select("id", quality.exclusion_reason(F.col("text"), F.col("akn_eid")).alias("reason"))
 
@@ -389,8 +391,8 @@ def duplicate_eids(spark, d):
 
 
 _RED = "coalesce(text, '')"
-for _p, _m in quality.REDACTIONS:
-    _RED = f"regexp_replace({_RED}, '{_p}', '{_m}', 'g')"
+for _kind, _pattern in quality.REDACTIONS.items():
+    _RED = "regexp_replace({}, '{}', '[redacted {}]', 'g')".format(_RED, _pattern.replace("'", "''"), _kind)
 
 
 @sql(f"SELECT doc_id, md5({_RED}) AS redacted FROM documents")

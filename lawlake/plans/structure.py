@@ -89,7 +89,7 @@ def expression_uri_parts(spark, d):
     return once(spark, d, "versions", "expression_uri").select("id", uris.expression_language(u).alias("lang"), uris.expression_date(u).alias("on_date"))
 
 
-@sql("+ c AS (SELECT body_id, nullif(lower(trim(language)), '') AS c FROM bodies) SELECT body_id, CASE c WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'ger' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'fre' THEN 'fra' WHEN 'es' THEN 'spa' ELSE c END AS lang FROM c")
+@sql("+ c AS (SELECT body_id, nullif(lower(trim(language)), '') AS c FROM bodies) SELECT body_id, CASE c WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'ger' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'fre' THEN 'fra' WHEN 'es' THEN 'spa' WHEN 'esp' THEN 'spa' ELSE c END AS lang FROM c")
 def body_languages(spark, d):
     """Language codes of several standards as one."""
     return read(spark, d, "bodies").select("body_id", texts.language(F.col("language")).alias("lang"))

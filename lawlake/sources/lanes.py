@@ -168,24 +168,38 @@ def atom_entries(feeds: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     return made.withColumn("updated", F.try_to_timestamp("updated"))
 
 
-# publishers' wordings of effects and the actions they are.
-WORDINGS = {
-    "inserted": "insertion", "added": "insertion", "substituted": "substitution", "words substituted": "substitution", "repealed": "repeal", "omitted": "repeal", "revoked": "repeal",
-    "renumbered": "renumbering", "coming into force": "entryIntoForce", "commencement": "entryIntoForce", "amended": "variation", "modified": "variation", "applied": "exceptionOfScope", "ceases to have effect": "endOfEfficacy",
-}
+# publishers' verbs of effects with the action and the category they are; a verb that isn't here is left unmapped.
+VERBS = {
+    "textual": {"insertion": ["inserted", "added"], "repeal": ["omitted", "repealed", "revoked"], "substitution": ["substituted"], "renumbering": ["renumbered"]},
+    "meaning": {"variation": ["modified"]},
+    "scope": {"extensionOfScope": ["extended", "applied"], "exceptionOfScope": ["excluded", "restricted"]},
+    "force": {"entryIntoForce": ["coming into force", "in force", "commencement order"]},
+}
+# What stands before a verb and narrows it, and what follows it and is no part of it.
+NARROWING = "word words sum para paras comma entry entries heading".split()
+FOLLOWING = ["by", "in earlier", "for", "of", "conferred"]
+
+
+def effect_verb(wording: Column) -> Column:
+    """The verb of a publisher's wording, without brackets, provenance and what narrows it."""
+    bare = F.regexp_replace(F.lower(F.trim(wording)), r"\([^)]*\)", "")
+    bare = F.regexp_replace(bare, rf"\s+(?:{'|'.join(FOLLOWING)})\b.*$", "")
+    bare = F.regexp_replace(bare, r"\bin part\b", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"^(?:(?:and )?(?:{'|'.join(NARROWING)})\s+)+", ""), r"\s+", " "))
 
 
 def crosswalk(wording: Column) -> Column:
-    """The action a publisher's wording stands for; null if it isn't known."""
-    bare = F.trim(F.regexp_replace(F.lower(wording), r"\(.*?\)|\b(words|by|in part|temp\.?|prosp\.?)\b", " "))
-    table = F.create_map(*[F.lit(x) for pair in WORDINGS.items() for x in pair])
-    return F.try_element_at(table, F.regexp_replace(bare, r"\s+", " "))
+    """struct<action, category> that a publisher's wording stands for; null parts if it isn't known."""
+    known = [(v, a, c) for c, actions in VERBS.items() for a, verbs in actions.items() for v in verbs]
+    table = F.create_map(*[x for v, a, c in known for x in (F.lit(v), F.struct(F.lit(a).alias("action"), F.lit(c).alias("category")))])
+    hit = F.try_element_at(table, effect_verb(wording))
+    return F.struct(hit["action"].alias("action"), hit["category"].alias("category"))
 
 
 def effects_csv(spark: SparkSession, path: str, in_force: DataFrame | None = None) -> DataFrame:
     """A publisher's CSV of effects (Changed Legislation, Changed Provision, Type of Effect, Changing Legislation, Applied) with the first date of the sidecar."""
     raw = spark.read.csv(path, header=True, schema="target string, target_provision string, effect string, source string, applied string")
-    out = raw.withColumn("akn_action", crosswalk(F.col("effect"))).withColumn("applied", F.lower(F.trim("applied")).isin("yes", "y", "true", "applied"))
+    out = raw.withColumn("__as", crosswalk(F.col("effect"))).withColumn("akn_action", F.col("__as.action")).withColumn("akn_category", F.col("__as.category")).drop("__as").withColumn("applied", F.lower(F.trim("applied")).isin("yes", "y", "true", "applied"))
     if in_force is not None:
         first = in_force.groupBy("target", "target_provision").agg(F.min("in_force_date").alias("in_force_date"))
         out = out.join(first, ["target", "target_provision"], "left")

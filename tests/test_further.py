@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lawlake import registry, session
 from lawlake.functions import texts
-from lawlake.operators import bluebell, compare, search, stores, versioned
-from lawlake.sources import deliverable
+from lawlake.operators import anchors, bluebell, compare, documents, search, stores, versioned
+from lawlake.sources import deliverable, lanes
 
 WORDS = st.text(st.sampled_from("abc &<é"), min_size=1, max_size=12).map(lambda s: " ".join(s.split())).filter(lambda s: s)
 UNIT = st.recursive(
@@ -81,7 +81,7 @@ def test_deliverable_is_whole_and_never_overwritten(spark):
 
 
 def test_small_functions(spark):
-    assert texts.stem_arabic("والكتاب") == "كتاب" and texts.ordinal("third") == 3 and texts.ordinal("21st") == 21 and texts.ordinal(None) is None
+    assert texts.ordinal("third") == 3 and texts.ordinal("21st") == 21 and texts.ordinal(None) is None
     assert texts.money_mismatches("pay 500 (four hundred) and 12 (twelve), 7 (x)") == [(500, 400)] and texts.money_mismatches(None) == []
     df = spark.createDataFrame([("Act No. 12 of 1999",), ("Ferry Act, 1970",), ("none",), (None,)], "t string")
     ids = [tuple(r.x) for r in df.select(texts.identity_from_title(F.col("t")).alias("x")).collect()]
@@ -102,3 +102,44 @@ def test_nearest_holding(spark):
     held = spark.createDataFrame([("a", "A"), ("b", "B")], "version_id string, v string")
     got = {r.id: (r.held_by, r.depth, r.v) for r in versioned.nearest_holding(versioned.lineage(v), held, ["v"]).collect()}
     assert got == {"a": ("a", 0, "A"), "b": ("b", 0, "B"), "c": ("b", 1, "B")}
+
+
+def test_arabic_light_stems_agree_with_and_without_clitics(spark):
+    words = ["والكتاب", "الكتاب", "كتاب", "وللنقيب", "للنقيب", "وزير", "الوزير", "ولد", "المدينة", "مدينه", "كتابها", "ال", None]
+    got = [r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select(texts.stem_arabic(F.col("w")).alias("s")).collect()]
+    assert got == ["كتاب", "كتاب", "كتاب", "نقيب", "نقيب", "زير", "وزير", "ولد", "مدين", "مدين", "كتاب", "ال", None]
+    assert texts.tokenise("والكتابُ الوزير", "ara") == ["كتاب", "وزير"] and texts.stem("ولد", "ara") == "ولد"
+
+
+def test_publishers_wordings(spark):
+    cases = {
+        "words inserted": ("insertion", "textual"), "Applied (with modifications)": ("extensionOfScope", "scope"), "applied in part by S.I. 4": ("extensionOfScope", "scope"), "excluded": ("exceptionOfScope", "scope"),
+        "repealed in part": ("repeal", "textual"), "in force": ("entryIntoForce", "force"), "coming into force": ("entryIntoForce", "force"), "modified for ss. 2, 3": ("variation", "meaning"), "amended": (None, None), "ceases to have effect": (None, None), "": (None, None),
+    }
+    df = spark.createDataFrame([(w,) for w in cases], "w string").select("w", lanes.crosswalk(F.col("w")).alias("x"))
+    assert {r.w: tuple(r.x) for r in df.collect()} == cases
+
+
+def test_windows_hold_their_size_and_cover_the_text(spark):
+    at = [{"pos": p} for p in (100, 5400, 5590, 11000, 16900)]
+    docs = spark.createDataFrame([(k, "x" * n) for k, n in enumerate((1, 6000, 6001, 12_345, 17_000, 22_399))], "i int, t string")
+    anchored = spark.createDataFrame([(k, at) for k in range(6)], "i int, anchors array<struct<pos:int>>")
+    rows = {}
+    for r in anchors.windows(anchored, docs, "i", "t").orderBy("i", "window_no").collect():
+        rows.setdefault(r.i, []).append((r.start, r.stop))
+    for k, n in enumerate((1, 6000, 6001, 12_345, 17_000, 22_399)):
+        assert rows[k][0][0] == 0 and rows[k][-1][1] == n and all(0 < b - a <= 6000 for a, b in rows[k])
+        assert all(y[0] <= x[1] for x, y in zip(rows[k], rows[k][1:]))
+
+
+def test_cells_with_spans_stand_at_every_place_they_cover(spark):
+    xml = "<act><table eId='t'><tr><th colspan='2'>Fee</th><th rowspan='2'>Due</th></tr><tr><th>min</th><th>max</th></tr><tr><td rowspan='2'>1</td><td>2</td><td>May</td></tr><tr><td>3</td><td rowspan='x'>June</td></tr></table></act>"
+    cells = documents.table_rows(documents.nodes(spark.createDataFrame([("v", xml), ("w", "<act><table/></act>")], "id string, akn_xml string")))
+    got = sorted((r.row_no, r.column_no, r.label, r.text) for r in cells.collect())
+    assert got == [(3, 1, "Fee / min", "1"), (3, 2, "Fee / max", "2"), (3, 3, "Due", "May"), (4, 1, "Fee / min", "1"), (4, 2, "Fee / max", "3"), (4, 3, "Due", "June")]
+
+
+def test_moves_that_are_not_allowed_change_nothing(spark):
+    log = [("a", "queued", 1), ("a", "succeeded", 2), ("b", "queued", 1), ("b", "running", 2), ("b", "succeeded", 3), ("b", "failed", 4), ("c", "succeeded", 1), ("d", None, 1), ("e", "running", 2), ("e", "queued", 3)]
+    got = stores.run_states(spark.createDataFrame(log, "run string, state string, t int"), "run", "state", "t").collect()
+    assert sorted(map(tuple, got)) == [("a", "queued", 1), ("b", "succeeded", 3), ("e", "running", 2)]

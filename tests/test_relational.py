@@ -115,8 +115,8 @@ def test_quality_measures_abstain(spark):
     df = spark.createDataFrame([(1, loop), (2, "short"), (3, None), (4, "")], "id int, text string")
     got = {r.id: r.repeat_density for r in quality.repeat_densities(df, "text").collect()}
     assert got[1] > 0.9 and got[2] is got[3] is got[4] is None
-    red = spark.createDataFrame([("mail a.b@c.example or 10.0.0.1, Bearer abc.def",)], "t string").select(quality.redact(F.col("t")).alias("t")).head().t
-    assert red == "mail <redacted:email> or <redacted:ip>, bearer <redacted>"
+    red = spark.createDataFrame([("mail a.b@c.example or 10.0.0.1, Bearer abc.def; not 1.2.3, 999.1.1.1 or a@b; fe80::1",)], "t string").select(quality.redact(F.col("t")).alias("t")).head().t
+    assert red == "mail [redacted mailbox] or [redacted address], [redacted token]; not 1.2.3, 999.1.1.1 or a@b; [redacted address]"
     cite = spark.createDataFrame([("No 12 of 1999",), ("1 2 3",), ("7",), (None,), ("5 and 6",)], "t string").select(quality.citation(F.col("t")).alias("c")).collect()
     assert (cite[0].c.number, cite[0].c.year) == (12, 1999) and [r.c for r in cite[1:]] == [None] * 4
     g = quality.gaps(spark.createDataFrame([("a", n) for n in (1, 2, 4)] + [("b", n) for n in (1, 9)] + [("c", 1)], "k string, n int"), ["k"], "n")
@@ -137,3 +137,29 @@ def test_payloads(spark):
     assert [x.a for x in r] == [False, True, False, False, False] and [x.b for x in r] == [False, True, True, True, True]
     s = spark.createDataFrame([('[1, {"a": 2}, "x"]',), (None,)], "j string").select(findings.json_slice("j", 1, 5).alias("s")).collect()
     assert s[0].s == ['{"a":2}', "x"] and s[1].s is None
+
+
+def test_terms_of_which_a_token_looks_like_a_part(spark):
+    def tri(w):
+        padded = f"  {w} "
+        return list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
+
+    def similarity(a, b):
+        q, t = set(tri(a)), tri(b)
+        return max(len(q & set(t[i:j])) / len(q | set(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1))
+
+    tokens, terms = ["وزير", "act", "certificate", "banana", "ab"], ["الوزير", "accident", "certificación", "bananas", "act", "nab"]
+    got = search.expand_terms(spark.createDataFrame([(t,) for t in tokens], "token string"), spark.createDataFrame([(t, 1) for t in terms], "term string, ndoc int"), 0.0, 99)
+    found = {(r.token, r.term): r.similarity for r in got.collect()}
+    assert found["وزير", "الوزير"] == 0.6  # a word is found with its article
+    assert all(abs(v - similarity(*k)) < 1e-6 for k, v in found.items()) and "ab" not in {k[0] for k in found}
+    assert {k for k in ((a, b) for a in tokens for b in terms) if len(k[0]) > 2 and k[0] != k[1] and set(tri(k[0])) & set(tri(k[1]))} == set(found)
+
+
+def test_reasons_for_exclusion(spark):
+    cases = [
+        ("[Schedule 2 not transcribed: form]", "sec_1", True, "placeholder"), ("[repealed]", "sec_1", False, None), ("[illegible]", "sec_1", False, None), ("The fee is 4.", "sec_1", True, "marked"),
+        ("a | b | c", "sec_1", False, "table"), ("The fee shall be | 4 | 5", "sec_1", False, None), ("12.5 13.5 kg", "att_1", False, "digits"), ("  ", "att_1", True, None), (None, "att_1", None, None),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "t string, e string, m boolean").select(quality.exclusion_reason(F.col("t"), F.col("e"), F.col("m")).alias("r"))
+    assert [r.r for r in df.collect()] == [c[3] for c in cases]
