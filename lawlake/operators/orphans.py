@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawlake import session
+
 KEY = ["ref_field", "k1", "k2"]
 STATE = ["kind", "id", *KEY, "is_ref", "at", "live"]
 SUMS, TIMES = ["n_refs", "n_rows", "n_live"], ["first_ref", "first_live"]
@@ -135,8 +137,11 @@ def orphan_report(states: DataFrame, balances: DataFrame) -> DataFrame:
 
 def found(effects: DataFrame, laws: DataFrame, versions: DataFrame, provisions: DataFrame) -> DataFrame:
     """p6_found: every orphan reference of ``amendment_effects``."""
-    new = effect_states(effects).unionByName(law_states(laws)).unionByName(provision_states(provisions, versions, laws))
-    return orphan_report(*first_load(new))
+    stated = effect_states(effects)
+    _, balances = first_load(stated.unionByName(law_states(laws)).unionByName(provision_states(provisions, versions, laws)))
+    folder = session.shared_dir(effects.sparkSession, "orphan-balance")
+    balances.write.parquet(folder)  # read for the keys and for the laws there are
+    return orphan_report(stated, effects.sparkSession.read.parquet(folder))
 
 
 def counts(report: DataFrame) -> DataFrame:
