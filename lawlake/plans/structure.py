@@ -195,8 +195,9 @@ def act_segments(spark, d):
 
 @sql("")
 def html_blocks(spark, d):
-    """Blocks of all bodies labelled HTML."""
-    pages = read(spark, d, "bodies").where(F.lower("media_type").startswith("text/html")).select("body_id", F.col("content").cast("string").alias("html"))
+    """Blocks of all bodies that hold HTML, whatever their media type says."""
+    texts_ = read(spark, d, "bodies").select("body_id", F.col("content").cast("string").alias("html"))
+    pages = texts_.where(F.col("html").rlike(r"(?i)<(p|h[1-6]|li|div|td|th|pre)\b"))
     return lanes.html_blocks(pages, "body_id", "html")
 
 
@@ -211,18 +212,22 @@ def event_feed(spark, d):
     return versioned.keyset_page(kept.select("event_id", "event_type", "ts"), "ts", "event_id", 50)
 
 
-@sql("SELECT date_trunc('day', ts) AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+_DAILY = "SELECT date_trunc('day', ts) AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+
+
+@sql(_DAILY)
 def windowed_counts(spark, d):
     """Daily counts by the plan that also runs on the stream."""
     return events.windowed_counts(read(spark, d, "events"))
 
 
-@sql("")
+@sql(_DAILY)
 def stream_counts(spark, d):
     """The events table drained as a stream into daily counts (complete mode, the last state read back)."""
     folder = session.shared_dir(spark, "stream-in")
     read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
-    return events.drained_counts(spark, folder, session.shared_dir(spark, "stream"), session.shared_dir(spark, "stream-checkpoint"))
+    drained = events.drained_counts(spark, folder, session.shared_dir(spark, "stream"), session.shared_dir(spark, "stream-checkpoint"))
+    return drained.withColumn("from_ts", F.col("from_ts").cast("timestamp_ntz"))
 
 
 @sql("+ o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) SELECT o.o_orderkey FROM o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
