@@ -154,6 +154,13 @@ class _Html(HTMLParser):
         self.math: list[str] | None = None
         self.note = False
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that the parser can't read is a comment."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def flush(self) -> None:
         said, self.buffer = "".join(self.buffer), []
         self.out.text(said)

@@ -159,6 +159,11 @@ def test_long_body(spark):
     assert markup.found(spark, df, spark.createDataFrame([(1, None)], "fetch_id bigint, source_url string")).count() == 10_000
 
 
+def test_broken_declarations_are_comments():
+    assert [t for c, t in lexers.lex_html("a<![1 b><p>c</p><![CDATA[x]]>") if c == "T"] == ["a", "c"]
+    assert lexers.lex_html("<![1") == [] or lexers.lex_html("<![1")[0][0] == "T"
+
+
 def test_lexers_never_fail():
     @settings(max_examples=200, deadline=None)
     @given(st.text(st.sampled_from(list("\\{}[]$%&#*=<>/'`~-1) \nabhi|!^_")), max_size=60))
