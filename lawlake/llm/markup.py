@@ -30,7 +30,6 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -313,12 +312,26 @@ def wrappers(streams: DataFrame) -> DataFrame:
         sites, paths = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(sites, pa.string()), pa.array(paths, pa.string()), pa.array([show(e) for e in found.values()], pa.string())], ["site", "path", "expression"])
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = infer(("", read(e)) for e in sorted(frame["expression"]))
-        return pd.DataFrame([{"site": frame["site"].iloc[0], "path": frame["path"].iloc[0], "expression": show(whole[""])}])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by site and path, so one expression is held at a time."""
+        key, held = None, None
+        for batch in batches:
+            done = []
+            for site, path, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if (site, path) == key:
+                    held = align(held, read(text))
+                    continue
+                if key is not None:
+                    done.append((*key, show(held)))
+                key, held = (site, path), read(text)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done)], ["site", "path", "expression"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in (*key, show(held))], ["site", "path", "expression"])
 
     partials = streams.select("site", "stream").mapInArrow(partial, "site string, path string, expression string").distinct()
-    merged = partials.groupBy("site", "path").applyInPandas(merge, "site string, path string, expression string")
+    sorted_ = partials.repartition("site", "path").sortWithinPartitions("site", "path", "expression")
+    merged = sorted_.mapInArrow(merge, "site string, path string, expression string")
     return merged.groupBy("site").agg(F.to_json(F.sort_array(F.collect_list(F.array("path", "expression")))).alias("wrapper"))
 
 
